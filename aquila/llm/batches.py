@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
+from aquila.llm.tables import ship
+
 #: Bytes of text handled at once; a single longer text is handled alone.
 CHUNK_BYTES = 4_000_000
 
@@ -35,4 +37,5 @@ def map_chunks(df: DataFrame, text_col: str, schema: str, start: Callable[[], Ca
             if (out := step(chunk)) is not None:
                 yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
