@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aquila.llm import bpe, line_dedup, sharding
+from aquila.llm import bpe, jaccard_join, line_dedup, quality_classifier, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_sharding": sharding.op3_sharding,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op9_bpe": bpe.op9_bpe,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
