@@ -220,5 +220,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which find_leaks finds no item; a pass for each block of items."""
+    for block in _blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), block_words):
+        items = docs.sparkSession.sparkContext.broadcast(block)
+
+        def start(items=items):
+            searcher = Searcher(items.value)
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+                hit = {row for row, *_ in searcher.search(batch.column(batch.schema.get_field_index(text_col)).to_pylist())}
+                kept = [i for i in range(batch.num_rows) if i not in hit]
+                return batch.take(pa.array(kept)) if kept else None
+
+            return step
+
+        docs = map_chunks(docs, text_col, docs.schema, start)
+    return docs
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

@@ -227,5 +227,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return map_chunks(held, "text", f"doc_id {kind}, held_out boolean, score double, predicted int", lambda: step)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score_quality gives ``threshold`` or more, in one pass."""
+    vectors, network = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels.select("doc_id", F.col("quality").cast("int").alias("quality")))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        kept = np.flatnonzero(network.scores(pool(texts, vectors)) >= threshold)
+        return batch.take(pa.array(kept)) if len(kept) else None
+
+    return map_chunks(docs, text_col, docs.schema, lambda: step)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

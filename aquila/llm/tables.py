@@ -53,7 +53,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._aquila_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    path = table._aquila_path
+    _written.remove((table.sparkSession, path))
+    _delete(table.sparkSession, path)
+
+
+def opened() -> list[tuple[SparkSession, str]]:
+    """The tables of ``written`` that are still there."""
+    return list(_written)
+
+
+def close(tables: list[tuple[SparkSession, str]]) -> None:
+    for table in tables:
+        if table in _written:
+            _written.remove(table)
+            _delete(*table)
 
 
 def release() -> None:
@@ -61,9 +87,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; what it wrote goes with the checkpoint folder
             continue
 
