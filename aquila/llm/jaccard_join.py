@@ -24,14 +24,18 @@ from pyspark.sql import functions as F
 from aquila.llm.batches import chunks, map_chunks
 from aquila.llm.components import components
 from aquila.llm.shingles import fingerprint, mixed, shingle_sets
-from aquila.llm.tables import load, written
+from aquila.llm.tables import drop, load, written
 
 #: Counters of the sketch, as a power of two, and the rows that it travels in.
 SKETCH_BITS, SKETCH_ROWS = 22, 64
 #: The most shingles asked for by a prefix's choice, and the cost of comparing two sets in looked-up prefix entries.
 MOST, COMPARE = 8, 4.0
 #: Rounds of pivots before the exact rest.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Rounds that drop entries without a partner of fitting size.
+PRUNINGS = 2
+#: Sizes up to EXACT are told apart; beyond, in steps of STEP.
+EXACT, STEP = 128, 1.01
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
@@ -133,17 +137,46 @@ def _shared_at_least(num: int, den: int, a: str, b: str) -> Column:
     return F.least(F.col(f"{a}.prefix") - F.col(f"{a}.size"), F.col(f"{b}.prefix") - F.col(f"{b}.size")) + both
 
 
+def _step(size: Column) -> Column:
+    return F.when(size <= EXACT, size).otherwise(EXACT + F.floor(F.ln(size / EXACT) / F.lit(float(np.log(STEP))))).cast("int")
+
+
+def _pruned(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries whose list holds a size of partner that asks for no more shared entries than their node has, with these
+    counted anew. The sizes of a list, in steps, are few however long it is."""
+    lists = entries.groupBy("token").agg(F.collect_set(_step(F.col("size"))).alias("steps"), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
+    size, slack = F.col("size"), F.col("prefix") - F.col("size")
+
+    def asked(other: Column) -> Column:
+        return F.least(slack, 1 - F.ceil(other * F.lit(num) / F.lit(den))) + F.ceil((size + other) * F.lit(num) / F.lit(num + den))
+
+    def fits(step: Column) -> Column:
+        scale = lambda k: F.pow(F.lit(STEP), k - EXACT) * EXACT
+        low = F.greatest(F.when(step < EXACT, step).otherwise(F.floor(scale(step))), F.ceil(size * F.lit(num) / F.lit(den)))
+        high = F.least(F.when(step < EXACT, step).otherwise(F.ceil(scale(step + 1))), F.floor(size * F.lit(den) / F.lit(num)))
+        # least at one of the ends, but for rounding
+        return (low <= high) & (F.col("found") >= F.least(asked(low), asked(high)) - 1)
+
+    kept = entries.join(written(lists.select("token", "steps"), "lists"), "token").where(F.exists("steps", fits)).select("node", "token", "size", "prefix")
+    kept = written(kept, "kept-entries")
+    return written(kept.join(written(kept.groupBy("node").agg(F.count(F.lit(1)).alias("found")), "nodes"), "node"), "entries")
+
+
 def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between nodes, enough to connect all that are connected, and node, root of connected nodes.
 
     nodes: node, rep (a document with that set)."""
-    entries = written(emit_prefixes(docs, n, num, den, sketch), "prefixes")
-    shared = entries.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("token")
-    entries = written(entries.join(shared, "token").distinct(), "shared-prefixes")
-    # Entries shared in its prefix: with fewer than a partner of any size asks for, a node has no partner.
+    prefixes = written(emit_prefixes(docs, n, num, den, sketch), "prefixes")
+    shared = prefixes.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("token")
+    entries = written(prefixes.join(shared, "token").distinct(), "shared-prefixes")
+    drop(prefixes)
+    # A node whose shared entries are fewer than any partner asks for has no partner.
     info = entries.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("found"))
-    info = written(info.where(F.col("found") >= F.col("prefix") - F.col("size") + F.ceil(F.col("size") * F.lit(num) / F.lit(den))), "nodes")
-    entries = written(entries.join(info.select("node", "found"), "node"), "entries")
+    info = info.where(F.col("found") >= F.col("prefix") - F.col("size") + F.ceil(F.col("size") * F.lit(num) / F.lit(den)))
+    entries = written(entries.join(written(info.select("node", "found"), "nodes"), "node"), "entries")
+    for _ in range(PRUNINGS):
+        entries = _pruned(entries, num, den)
+    info = written(entries.select("node").distinct(), "partnered")
     wanted = info.join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
     texts = docs.join(wanted, "doc_id")
 
@@ -153,14 +186,14 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
         keep = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and fingerprint(s) == node]
         return pa.record_batch([pa.array([k for k, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.list_(pa.int64()))], ["node", "shingles"]) if keep else None
 
-    sets = written(map_chunks(texts.select("node", "text"), "text", "node bigint, shingles array<bigint>", lambda: sets_of).dropDuplicates(["node"]), "sets")
+    sets = written(map_chunks(texts.select("node", "text"), "text", "node bigint, shingles array<bigint>", lambda: sets_of), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         joined = pairs.join(one, "a").join(other, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("u"))
-        return joined.where(F.col("i") * den >= (F.col("u") - F.col("i")) * num).select("a", "b")
+        return joined.where(F.col("i") * den >= (F.col("u") - F.col("i")) * num).select("a", "b").distinct()
 
     found = labels = None
     for step in range(PIVOT_ROUNDS):
@@ -180,12 +213,17 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     here = (entries.join(labels, "node", "left") if labels is not None else entries.withColumn("root", F.lit(None))).withColumn("label", F.coalesce("root", "node"))
     open_ = here.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
     here = written(here.join(written(open_, "open"), "token"), "open-entries")
-    groups = here.select("token", "label").distinct()
-    meet = groups.alias("g").join(groups.alias("h"), "token").where("g.label < h.label").select("token", F.col("g.label").alias("x"), F.col("h.label").alias("y"))
-    left = meet.join(here.alias("a"), (meet.token == F.col("a.token")) & (meet.x == F.col("a.label"))).select(F.struct("a.node", "a.size", "a.prefix", "a.found").alias("a"), meet.token.alias("token"), "y")
+    here = here.withColumn("step", _step(F.col("size")))
+    groups = written(here.groupBy("token", "label", "step").agg(F.max("found").alias("most"), F.min("size").alias("low"), F.max("size").alias("high"), F.min(F.col("prefix") - F.col("size")).alias("slack")), "groups")
+    g, h = groups.alias("g"), groups.alias("h")
+    asked = F.least("g.slack", "h.slack") + F.ceil((F.col("g.low") + F.col("h.low")) * F.lit(num) / F.lit(num + den))
+    fits = (F.col("g.label") < F.col("h.label")) & (F.col("g.most") >= asked) & (F.col("h.most") >= asked) & (F.least("g.high", "h.high") * den >= F.greatest("g.low", "h.low") * num)
+    meet = g.join(h, (F.col("g.token") == F.col("h.token")) & fits).select(F.col("g.token").alias("t"), F.col("g.label").alias("x"), F.col("g.step").alias("x_step"), F.col("h.label").alias("y"), F.col("h.step").alias("y_step"))
+    meet = written(meet, "meetings")
+    left = meet.join(here.alias("a"), (meet.t == F.col("a.token")) & (meet.x == F.col("a.label")) & (meet.x_step == F.col("a.step"))).select(F.struct("a.node", "a.size", "a.prefix", "a.found").alias("a"), "t", "y", "y_step")
     need = _shared_at_least(num, den, "a", "b")
-    pairs = left.join(here.alias("b"), (left.token == F.col("b.token")) & (left.y == F.col("b.label")) & (F.col("a.found") >= need) & (F.col("b.found") >= need) & (F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num))
-    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(need).alias("need")).where("n >= need").select("a", "b")
+    pairs = left.join(here.alias("b"), (left.t == F.col("b.token")) & (left.y == F.col("b.label")) & (left.y_step == F.col("b.step")) & (F.col("a.found") >= need) & (F.col("b.found") >= need) & (F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num))
+    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(need).alias("need")).where("n >= need").select("a", "b").distinct()
     rest = written(compared(pairs), "links")
     found = written(found.unionByName(rest), "links")
     return found, components(found)
@@ -211,5 +249,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.join(named, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Of each group of jaccard_groups the row of least doc_id, with all its columns; of rows that are equal in doc_id and
+    text one stays. Rows without a doc_id stay."""
+    chosen = jaccard_groups(docs, n=n, num=num, den=den).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(written(chosen, "chosen"), "doc_id", "left_semi").withColumn("_text_hash", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash").unionByName(docs.where("doc_id is null"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(load(spark, sf_dir, "documents"), n=3, num=90, den=100)
