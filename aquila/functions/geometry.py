@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from aquila.functions.stcs import Region
+from aquila.functions.stcs import FLAVORS, FRAMES, POSITIONS, Region
 
 
 def _number(sql: str) -> float | None:
@@ -23,7 +23,8 @@ def _number(sql: str) -> float | None:
 
 @dataclass(frozen=True)
 class Shape:
-    """kind: point, circle, box, polygon, union, intersection, not. parts: SQL of its numbers. system: SQL of its text."""
+    """kind: point, circle, box, polygon, union, intersection, not, or stored: a column with a region's text. parts: SQL of
+    its numbers, or of its text. system: SQL of its coordinate system's text."""
 
     kind: str
     parts: tuple[str, ...] = ()
@@ -98,6 +99,36 @@ def _point_in_polygon(p: tuple[str, str], s: Shape) -> str:
     return f"({near} AND (abs({' + '.join(angles)}) > pi() OR {edge}))"
 
 
+def stored(text: str) -> Shape:
+    """Of a column with a region as text; its system is among the words after the first."""
+    words = ", ".join(f"'{w}'" for w in FRAMES + POSITIONS + FLAVORS)
+    return Shape("stored", (text,), system=f"array_join(filter(split(upper(trim({text})), ' +'), w -> w IN ({words})), ' ')")
+
+
+def _by_stored_kind(s: Shape, what: Callable[[str, Callable[[str], str]], dict[str, str]]) -> str:
+    """A CASE over the kind of a stored region; compound ones are errors when they are met."""
+    text = s.parts[0]
+    numbers = f"transform(filter(split(trim({text}), ' +'), w -> w RLIKE '^[-+.0-9]'), w -> CAST(w AS DOUBLE))"
+    cases = what(numbers, lambda i: f"element_at({numbers}, CAST({i} AS INT))")
+    whens = " ".join(f"WHEN '{k}' THEN {sql}" for k, sql in cases.items())
+    return f"(CASE element_at(split(upper(trim({text})), ' +'), 1) {whens} ELSE CASE WHEN {text} IS NOT NULL THEN raise_error(concat('not supported in a column: ', {text})) END END)"
+
+
+def _point_in_stored(p: tuple[str, str], s: Shape) -> str:
+    def cases(numbers: str, at: Callable[[str], str]) -> dict[str, str]:
+        n = f"CAST(size({numbers}) / 2 AS INT)"
+        a, b = (at("2 * i + 1"), at("2 * i + 2")), (at(f"2 * ((i + 1) % {n}) + 1"), at(f"2 * ((i + 1) % {n}) + 2"))
+        u, v, w = unit(*p), unit(*a), unit(*b)
+        angle = f"atan2({_dot(u, _cross(v, w))}, {_dot(v, w)} - {_dot(v, u)} * {_dot(w, u)})"
+        total = lambda sql: f"aggregate(sequence(0, {n} - 1), 0D, (sum, i) -> sum + {sql})"
+        edge = f"exists(sequence(0, {n} - 1), i -> {_arc_distance(p, a, b)} <= 1e-11D)"
+        one = [at(str(i)) for i in range(1, 5)]
+        plain = {k: contains(Shape("point", p), Shape(k, tuple(one[:m]))) for k, m in (("point", 2), ("circle", 3), ("box", 4))}
+        return {"POSITION": plain["point"], "CIRCLE": plain["circle"], "BOX": plain["box"], "POLYGON": f"({total(_dot(u, v))} > 0 AND (abs({total(angle)}) > pi() OR {edge}))"}
+
+    return _by_stored_kind(s, cases)
+
+
 def _any(items: list[str]) -> str:
     return "(" + " OR ".join(items) + ")"
 
@@ -134,7 +165,9 @@ def contains(inner: Shape, outer: Shape) -> str:
         return _any([contains(inner, s) for s in outer.inner])
     if inner.kind == "union":
         return _all([contains(s, outer) for s in inner.inner])
-    if inner.kind in ("intersection", "not"):
+    if outer.kind == "stored" and inner.kind == "point":
+        return _point_in_stored(inner.centre, outer)
+    if inner.kind in ("intersection", "not", "stored") or outer.kind == "stored":
         raise ValueError(f"whether a region of kind {inner.kind} lies in another is not supported")
     c = inner.centre if inner.kind != "polygon" else inner.corners[0]
     match inner.kind, outer.kind:
@@ -176,8 +209,8 @@ def intersects(a: Shape, b: Shape) -> str:
             return contains(other, one)
         if other.kind == "not":
             return f"(NOT {contains(one, other.inner[0])})"
-        if other.kind == "intersection":
-            raise ValueError("whether an extended shape meets an intersection is not supported")
+        if other.kind in ("intersection", "stored") and one.kind != "point":
+            raise ValueError(f"whether an extended shape meets a region of kind {other.kind} is not supported")
     for one, other in ((a, b), (b, a)):
         c, r = one.centre if one.kind == "circle" else ("", ""), one.parts[-1]
         match one.kind, other.kind:
@@ -204,6 +237,8 @@ def area(s: Shape) -> str:
     """Square degrees."""
     square = repr((180 / math.pi) ** 2) + "D"
     match s.kind:
+        case "stored":
+            return _by_stored_kind(s, lambda _, at: {"POSITION": "0D", "CIRCLE": area(Shape("circle", (at("1"), at("2"), at("3")))), "BOX": area(Shape("box", (at("1"), at("2"), at("3"), at("4"))))})
         case "point":
             return "0D"
         case "circle":

@@ -87,3 +87,22 @@ def test_cone_join_finds_all_pairs_once(spark):
         assert "NestedLoop" not in df._jdf.queryExecution().optimizedPlan().toString() and "explode" in df._jdf.queryExecution().analyzed().toString()
         got = sorted(map(tuple, df.collect()))
         assert got == sorted((i, j) for i, l, b in stars for j, m, c in stars if None not in (l, m) and dist((l, b), (m, c)) <= radius)
+
+
+def test_stored_regions(spark):
+    from aquila.session import Config, Engine
+    from aquila.sources.catalog import Catalog
+
+    regions = [(1, "Circle ICRS 10 10 5"), (2, "box 10 10 4 4"), (3, "POLYGON ICRS GEOCENTER 0 0 90 0 0 90"), (4, "Position 12 13"), (5, None)]
+    catalog = Catalog()
+    catalog.add("r", spark.createDataFrame(regions, "id int, s string"), types={"s": "REGION"})
+    engine = Engine(spark, catalog, Config())
+    inside = lambda lon, lat: [x[0] for x in engine.sql(f"SELECT id FROM r WHERE CONTAINS(POINT('', {lon}, {lat}), s) = 1 ORDER BY id").collect()]
+    assert [inside(*p) for p in ((10, 10), (12, 13), (80, 5), (10, 350), (200, -50))] == [[1, 2, 3], [1, 3, 4], [3], [], []]
+    got = engine.sql("SELECT id, s, COORDSYS(s) AS c FROM r WHERE INTERSECTS(s, POINT('', 0, 0)) = 1").collect()
+    assert [tuple(x) for x in got] == [(3, regions[2][1], "ICRS GEOCENTER")]
+    areas = [x[0] for x in engine.sql("SELECT AREA(s) AS a FROM r WHERE id < 3 ORDER BY id").collect()]
+    assert areas == ask(spark, [area(S("circle", 10, 10, 5)), area(S("box", 10, 10, 4, 4))])
+    catalog.add("bad", spark.createDataFrame([("NOT (Circle 1 2 3)",)], "s string"), types={"s": "REGION"})
+    with pytest.raises(Exception, match="not supported in a column"):
+        engine.sql("SELECT CONTAINS(POINT('', 1, 2), s) AS x FROM bad").collect()
