@@ -14,11 +14,11 @@ between different groups that pass the filter are compared exactly.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aquila.llm.batches import chunks, map_chunks
@@ -141,23 +141,29 @@ def _step(size: Column) -> Column:
     return F.when(size <= EXACT, size).otherwise(EXACT + F.floor(F.ln(size / EXACT) / F.lit(float(np.log(STEP))))).cast("int")
 
 
-def _pruned(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries whose list holds a size of partner that asks for no more shared entries than their node has, with these
-    counted anew. The sizes of a list, in steps, are few however long it is."""
-    lists = entries.groupBy("token").agg(F.collect_set(_step(F.col("size"))).alias("steps"), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
+def _least_asked(num: int, den: int) -> Callable[[Column], Column]:
+    """At least so many shared entries a partner asks for whose size is in a step; null if none of that size can be one."""
     size, slack = F.col("size"), F.col("prefix") - F.col("size")
 
     def asked(other: Column) -> Column:
         return F.least(slack, 1 - F.ceil(other * F.lit(num) / F.lit(den))) + F.ceil((size + other) * F.lit(num) / F.lit(num + den))
 
-    def fits(step: Column) -> Column:
+    def of(step: Column) -> Column:
         scale = lambda k: F.pow(F.lit(STEP), k - EXACT) * EXACT
         low = F.greatest(F.when(step < EXACT, step).otherwise(F.floor(scale(step))), F.ceil(size * F.lit(num) / F.lit(den)))
         high = F.least(F.when(step < EXACT, step).otherwise(F.ceil(scale(step + 1))), F.floor(size * F.lit(den) / F.lit(num)))
         # least at one of the ends, but for rounding
-        return (low <= high) & (F.col("found") >= F.least(asked(low), asked(high)) - 1)
+        return F.when(low <= high, F.least(asked(low), asked(high)) - 1)
+
+    return of
 
-    kept = entries.join(written(lists.select("token", "steps"), "lists"), "token").where(F.exists("steps", fits)).select("node", "token", "size", "prefix")
+
+def _pruned(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries whose list holds a size of partner that asks for no more shared entries than their node has, with these
+    counted anew. The sizes of a list, in steps, are few however long it is."""
+    lists = entries.groupBy("token").agg(F.collect_set(_step(F.col("size"))).alias("steps"), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
+    asked = _least_asked(num, den)
+    kept = entries.join(written(lists.select("token", "steps"), "lists"), "token").where(F.exists("steps", lambda step: F.coalesce(F.col("found") >= asked(step), F.lit(False)))).select("node", "token", "size", "prefix")
     kept = written(kept, "kept-entries")
     return written(kept.join(written(kept.groupBy("node").agg(F.count(F.lit(1)).alias("found")), "nodes"), "node"), "entries")
 
@@ -213,7 +219,13 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     here = (entries.join(labels, "node", "left") if labels is not None else entries.withColumn("root", F.lit(None))).withColumn("label", F.coalesce("root", "node"))
     open_ = here.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
     here = written(here.join(written(open_, "open"), "token"), "open-entries")
-    here = here.withColumn("step", _step(F.col("size")))
+    # Two nodes that share k entries share one among all but the last k - 1 of each, in any common order.
+    here = here.withColumn("step", _step(F.col("size"))).drop("found")
+    lists = written(here.groupBy("token").agg(F.collect_set("step").alias("steps"), F.count(F.lit(1)).alias("held")), "lists")
+    own = Window.partitionBy("node")
+    here = here.join(lists, "token").withColumn("asked", F.array_min(F.transform("steps", _least_asked(num, den)))).where("asked is not null").drop("steps")
+    here = here.withColumns({"found": F.count(F.lit(1)).over(own), "asked": F.greatest(F.lit(1), F.min("asked").over(own)), "nth": F.row_number().over(own.orderBy("held", "token"))})
+    here = written(here.where("nth <= found - asked + 1").select("token", "node", "size", "prefix", "found", "label", "step"), "first-entries")
     groups = written(here.groupBy("token", "label", "step").agg(F.max("found").alias("most"), F.min("size").alias("low"), F.max("size").alias("high"), F.min(F.col("prefix") - F.col("size")).alias("slack")), "groups")
     g, h = groups.alias("g"), groups.alias("h")
     asked = F.least("g.slack", "h.slack") + F.ceil((F.col("g.low") + F.col("h.low")) * F.lit(num) / F.lit(num + den))
@@ -223,7 +235,7 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     left = meet.join(here.alias("a"), (meet.t == F.col("a.token")) & (meet.x == F.col("a.label")) & (meet.x_step == F.col("a.step"))).select(F.struct("a.node", "a.size", "a.prefix", "a.found").alias("a"), "t", "y", "y_step")
     need = _shared_at_least(num, den, "a", "b")
     pairs = left.join(here.alias("b"), (left.t == F.col("b.token")) & (left.y == F.col("b.label")) & (left.y_step == F.col("b.step")) & (F.col("a.found") >= need) & (F.col("b.found") >= need) & (F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num))
-    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(need).alias("need")).where("n >= need").select("a", "b").distinct()
+    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     rest = written(compared(pairs), "links")
     found = written(found.unionByName(rest), "links")
     return found, components(found)
