@@ -33,6 +33,8 @@ LEAST_REVISITED = 1000
 SEGMENT_BYTES = 8_000_000
 #: Rows of a range that are held in memory before runs are spilled, and rows read at once from a spilled run.
 HELD_ROWS, READ_ROWS = 100_000, 2_000
+#: Compressed bytes that are given to the decompressor at once.
+READ_BYTES = 16_384
 #: The time of capture of a page without one: its id in seconds after this.
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,13 +79,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def read_records(segment: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """offset, length, headers and block of each record of a segment."""
-    at = 0
+    at, view = 0, memoryview(segment)
     while at < len(segment):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(memoryview(segment)[at:]) + member.flush()
+        member, parts, end = zlib.decompressobj(31), [], at
+        while not member.eof and end < len(segment):  # in steps, as what follows the member is copied
+            parts.append(member.decompress(view[end : end + READ_BYTES]))
+            end = min(len(segment), end + READ_BYTES)
+        raw = b"".join(parts)
         if not member.eof:
             raise ValueError(f"record at {at} is cut off")
-        length = len(segment) - at - len(member.unused_data)
+        length = end - at - len(member.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/1."):
