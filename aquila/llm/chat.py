@@ -52,25 +52,46 @@ def violations(arguments: Column, schema: Mapping[str, Any]) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def _key(call: str) -> Column:
+    """A call's identifier within its conversation, which may be null."""
+    return F.to_json(F.struct("conv_id", F.col(call).alias("call_id")))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id and level of calls (conv_id, call_id, depends_on): 0 if they wait for no other, else one more than
-    the highest that they wait for. Those in or behind a circle have none. A round of joins a level."""
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
-    known = calls.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("dep_id"))
-    edges = written(edges.join(known, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("dep") == F.col("dep_id"))).select("conv_id", "call_id", "dep"), "waits")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    new = written(calls.select("conv_id", "call_id").join(waiting.select(F.col("conv_id").alias("w_conv"), F.col("call_id").alias("w_call")), F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("call_id") == F.col("w_call")), "left_anti").withColumn("level", F.lit(0)), "level")
-    done, left = new, edges.withColumn("met", F.lit(-1))
+    """key and level of calls (conv_id, call_id, depends_on): 0 if they wait for no other, else one more than the highest
+    that they wait for. Those in or behind a circle have none.
+
+    A chain of calls that each wait for one other is followed by doubling steps, so its length costs its logarithm in
+    rounds. What waits for several calls then takes a round for each level of such calls."""
+    nodes = calls.select(_key("call_id").alias("key")).distinct()
+    edges = calls.select("conv_id", _key("call_id").alias("key"), F.explode("depends_on").alias("dep")).select("key", _key("dep").alias("dep")).distinct()
+    edges = written(edges.join(nodes.select(F.col("key").alias("dep")), "dep").select("key", "dep"), "waits")
+    degree = written(edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "degrees")
+    chain = edges.join(degree.where("n = 1").select("key"), "key")
+    inner = chain.select(F.col("key").alias("dep"), F.lit(True).alias("goes_on"))
+    chain = written(chain.join(inner, "dep", "left").select("key", F.col("dep").alias("to"), F.lit(1).cast("long").alias("far"), F.col("goes_on").isNull().alias("ends")), "chains")
+    open_ = chain.where("not ends").count()
+    for _ in range(open_.bit_length() + 1):  # what is open after so many steps runs in a circle
+        if not open_:
+            break
+        ahead = chain.select(F.col("key").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("ends").alias("done"))
+        moved = chain.where("not ends").join(ahead, "to").select("key", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("done").alias("ends"))
+        chain = written(chain.where("ends").unionByName(moved), "chains")
+        open_ = chain.where("not ends").count()
+    ended = chain.where("ends").select("key", "to", "far")
+    new = written(nodes.join(degree.select("key"), "key", "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    several = edges.join(degree.where("n > 1").select("key"), "key")
+    left = several.join(ended.select(F.col("key").alias("dep"), "to", "far"), "dep", "left")
+    left = written(left.select("key", F.coalesce("to", "dep").alias("to"), F.coalesce("far", F.lit(0)).alias("far"), F.lit(-1).cast("long").alias("met")), "waits")
+    done = new
     while not left.isEmpty() and not new.isEmpty():
-        fresh = new.select(F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_call"), "level")
-        left = left.join(fresh, F.col("conv_id").eqNullSafe(F.col("n_conv")) & (F.col("dep") == F.col("n_call")), "left").select("conv_id", "call_id", "dep", F.greatest("met", F.coalesce("level", F.lit(-1))).alias("met"))
+        left = left.join(new.select(F.col("key").alias("to"), "level"), "to", "left").select("key", "to", "far", F.greatest("met", F.coalesce(F.col("level") + F.col("far"), F.lit(-1))).alias("met"))
         left = written(left, "waits")
-        ready = left.groupBy("conv_id", "call_id").agg(F.min("met").alias("least"), F.max("met").alias("most"))
-        new = written(ready.where("least >= 0").select("conv_id", "call_id", (F.col("most") + 1).alias("level")), "level")
+        new = written(left.groupBy("key").agg(F.min("met").alias("least"), F.max("met").alias("most")).where("least >= 0").select("key", (F.col("most") + 1).alias("level")), "levels")
         done = done.unionByName(new)
-        gone = new.select(F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_call"))
-        left = written(left.join(gone, F.col("conv_id").eqNullSafe(F.col("n_conv")) & (F.col("call_id") == F.col("n_call")), "left_anti"), "waits")
-    return done
+        left = written(left.join(new.select("key"), "key", "left_anti"), "waits")
+    done = written(done, "levels")
+    return done.unionByName(ended.join(done.select(F.col("key").alias("to"), "level"), "to").select("key", (F.col("level") + F.col("far")).alias("level")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:
@@ -95,9 +116,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
         results.where("call_id is not null").groupBy(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"))
         .agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
     )
-    order = levels(one).select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_call"), "level")
+    order = levels(one).withColumnRenamed("key", "l_key")
     linked = one.join(answer, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_call")), "left")
-    linked = linked.join(order, F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("call_id") == F.col("l_call")), "left")
+    linked = linked.join(order, _key("call_id") == F.col("l_key"), "left")
     problems = F.lit(None).cast("array<string>")
     for name, schema in schemas.items():
         problems = F.when(F.col("name") == name, violations(F.col("arguments"), schema)).otherwise(problems)
