@@ -136,14 +136,17 @@ def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), ((k * one(137.50776405)) % one(360)).alias("lon"), F.degrees(F.asin(one(2) * ((k * one(0.61803398875)) % one(1)) - one(1))).alias("lat"))
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    out = parquet_catalog(spark, sf_dir, TABLES)
-    out.add("sky", sky(spark, sf_dir))
+def catalog(spark: SparkSession, sf_dir: str, query: str | None = None) -> Catalog:
+    """All tables, or those alone whose names a query holds: opening a table reads its files' schema."""
+    wanted = lambda name: query is None or "TAP_SCHEMA" in query or name in query
+    out = parquet_catalog(spark, sf_dir, filter(wanted, TABLES))
+    if wanted("sky"):
+        out.add("sky", sky(spark, sf_dir))
     return out
 
 
 def run(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    tables = catalog(spark, sf_dir)
+    tables = catalog(spark, sf_dir, query)
     if "TAP_SCHEMA" in query:
         tables.describe(spark)
     return Engine(spark, tables, Config(functions=FUNCTIONS)).sql(query)
