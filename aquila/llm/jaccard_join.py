@@ -142,28 +142,36 @@ def _step(size: Column) -> Column:
 
 
 def _least_asked(num: int, den: int) -> Callable[[Column], Column]:
-    """At least so many shared entries a partner asks for whose size is in a step; null if none of that size can be one."""
+    """At least so many shared entries a partner asks for whose size is in a step and who chose l or more; null if none of
+    that size can be one. Over all partners it is 1: the largest asks for no more than its own l."""
     size, slack = F.col("size"), F.col("prefix") - F.col("size")
 
-    def asked(other: Column) -> Column:
-        return F.least(slack, 1 - F.ceil(other * F.lit(num) / F.lit(den))) + F.ceil((size + other) * F.lit(num) / F.lit(num + den))
+    def asked(other: Column, l: Column) -> Column:
+        return F.least(slack, l - F.ceil(other * F.lit(num) / F.lit(den))) + F.ceil((size + other) * F.lit(num) / F.lit(num + den))
 
-    def of(step: Column) -> Column:
+    def of(group: Column) -> Column:
+        step, l = group["step"], group["l"]
         scale = lambda k: F.pow(F.lit(STEP), k - EXACT) * EXACT
         low = F.greatest(F.when(step < EXACT, step).otherwise(F.floor(scale(step))), F.ceil(size * F.lit(num) / F.lit(den)))
         high = F.least(F.when(step < EXACT, step).otherwise(F.ceil(scale(step + 1))), F.floor(size * F.lit(den) / F.lit(num)))
         # least at one of the ends, but for rounding
-        return F.when(low <= high, F.least(asked(low), asked(high)) - 1)
+        return F.when(low <= high, F.least(asked(low, l), asked(high, l)) - 1)
 
     return of
 
 
+def _sizes(num: int, den: int) -> Column:
+    """Sizes, in steps, with the l that was chosen; few for a list, however long it is."""
+    chosen = F.col("prefix") - F.col("size") + F.ceil(F.col("size") * F.lit(num) / F.lit(den))
+    return F.collect_set(F.struct(_step(F.col("size")).alias("step"), chosen.cast("int").alias("l"))).alias("sizes")
+
+
 def _pruned(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries whose list holds a size of partner that asks for no more shared entries than their node has, with these
-    counted anew. The sizes of a list, in steps, are few however long it is."""
-    lists = entries.groupBy("token").agg(F.collect_set(_step(F.col("size"))).alias("steps"), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
+    """Entries whose list holds a partner, by size and l, that asks for no more shared entries than their node has, with
+    these counted anew."""
+    lists = entries.groupBy("token").agg(_sizes(num, den), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
     asked = _least_asked(num, den)
-    kept = entries.join(written(lists.select("token", "steps"), "lists"), "token").where(F.exists("steps", lambda step: F.coalesce(F.col("found") >= asked(step), F.lit(False)))).select("node", "token", "size", "prefix")
+    kept = entries.join(written(lists.select("token", "sizes"), "lists"), "token").where(F.exists("sizes", lambda group: F.coalesce(F.col("found") >= asked(group), F.lit(False)))).select("node", "token", "size", "prefix")
     kept = written(kept, "kept-entries")
     return written(kept.join(written(kept.groupBy("node").agg(F.count(F.lit(1)).alias("found")), "nodes"), "node"), "entries")
 
@@ -176,10 +184,8 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     shared = prefixes.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("token")
     entries = written(prefixes.join(shared, "token").distinct(), "shared-prefixes")
     drop(prefixes)
-    # A node whose shared entries are fewer than any partner asks for has no partner.
-    info = entries.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("found"))
-    info = info.where(F.col("found") >= F.col("prefix") - F.col("size") + F.ceil(F.col("size") * F.lit(num) / F.lit(den)))
-    entries = written(entries.join(written(info.select("node", "found"), "nodes"), "node"), "entries")
+    # One shared entry can be enough, whatever l a node has chosen; the sizes and l in its lists tell.
+    entries = written(entries.join(written(entries.groupBy("node").agg(F.count(F.lit(1)).alias("found")), "nodes"), "node"), "entries")
     for _ in range(PRUNINGS):
         entries = _pruned(entries, num, den)
     info = written(entries.select("node").distinct(), "partnered")
@@ -221,9 +227,9 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     here = written(here.join(written(open_, "open"), "token"), "open-entries")
     # Two nodes that share k entries share one among all but the last k - 1 of each, in any common order.
     here = here.withColumn("step", _step(F.col("size"))).drop("found")
-    lists = written(here.groupBy("token").agg(F.collect_set("step").alias("steps"), F.count(F.lit(1)).alias("held")), "lists")
+    lists = written(here.groupBy("token").agg(_sizes(num, den), F.count(F.lit(1)).alias("held")), "lists")
     own = Window.partitionBy("node")
-    here = here.join(lists, "token").withColumn("asked", F.array_min(F.transform("steps", _least_asked(num, den)))).where("asked is not null").drop("steps")
+    here = here.join(lists, "token").withColumn("asked", F.array_min(F.transform("sizes", _least_asked(num, den)))).where("asked is not null").drop("sizes")
     here = here.withColumns({"found": F.count(F.lit(1)).over(own), "asked": F.greatest(F.lit(1), F.min("asked").over(own)), "nth": F.row_number().over(own.orderBy("held", "token"))})
     here = written(here.where("nth <= found - asked + 1").select("token", "node", "size", "prefix", "found", "label", "step"), "first-entries")
     groups = written(here.groupBy("token", "label", "step").agg(F.max("found").alias("most"), F.min("size").alias("low"), F.max("size").alias("high"), F.min(F.col("prefix") - F.col("size")).alias("slack")), "groups")

@@ -204,6 +204,17 @@ def test_jaccard_edges(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in one.collect()) == [("0", "same words in this text here"), ("2", "None"), ("None", "x")]
 
 
+def test_jaccard_links_of_one_shared_entry(spark):
+    """1000 copies choose a long prefix, longer texts with rare words of their own a short one, which shares little with it."""
+    words = [f"w{i}" for i in range(92)]
+    longer = [(1000 + k, " ".join([*words, *(f"own{k}x{i}" for i in range(k))])) for k in range(7, 13)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(documents(spark, [" ".join(words)] * 1000 + longer), n=3, num=90).collect()}
+    assert got == {i: 0 if i < 1011 else i for i in [*range(1000), *(d for d, _ in longer)]}
+    for k in (7, 10):  # one alone, without others to bridge
+        rows = [*((i, " ".join(words)) for i in range(1000)), longer[k - 7]]
+        assert {r["component_id"] for r in jaccard_join.jaccard_groups(documents(spark, rows), n=3, num=90).collect()} == {0}
+
+
 def test_prefixes_keep_all_links():
     """Prefixes of any two linked sets share as many shingles as the filter asks for, whatever each has chosen."""
     r = random.Random(2)
