@@ -1,12 +1,7 @@
 """Benchmark decontamination: documents that hold a passage of a benchmark item, word edits allowed.
 
-The CGK embedding walks over a sequence of words; at each step it emits the word under its pointer, and a random bit of
-step and word says whether the pointer moves on. Sequences of small edit distance soon walk in step, so they agree in most
-places of the embedding. Windows of an item's size begin at every word of every document; a window and an item that agree
-in the sampled places of one of the repetitions are candidates, and the edit distance decides.
-
-Samples are taken in order of the walk, and a window that agrees with no item in those taken so far is given up. That is
-what full walks would give, at a small part of their cost.
+Of an item that is cut into one piece more than edits are allowed, some piece lies unedited in every passage of it. So the
+places where a document holds a piece are candidates, with none missed, and the edit distance decides.
 """
 
 from __future__ import annotations
@@ -20,15 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aquila.llm.batches import map_chunks
+from aquila.llm.shingles import GOLD, mixed
 from aquila.llm.tables import load
 from aquila.llm.text import words_of
 
 #: An item is found where at most this share of its words is edited (inserted, deleted or replaced).
 EDITS = 0.2
-#: Independent walks, and samples of each. tests/llm/test_decontamination.py measures the recall.
-WALKS, SAMPLES, SEED = 14, 4, 5
-#: Items whose sizes differ by less share a window size.
-CLASS_RATIO = 1.35
+#: Bits of a table that most windows without a piece fall out by.
+TABLE_BITS = 20
 #: Words of benchmark items that a task holds at once; a larger benchmark is searched in blocks.
 BLOCK_WORDS = 1_000_000
 
@@ -44,76 +38,42 @@ class Searcher:
                 self.ids.setdefault(w, len(self.ids) + 1)
         self.pad = len(self.ids) + 1
         self.coded = [np.array([self.ids[w] for w in words], np.int32) for _, words in self.items]
-        rng = np.random.default_rng(SEED)
-        self.tables = []  # (window size, bits by step and word, sampled steps, items by their samples)
-        order = sorted(range(len(self.items)), key=lambda k: len(self.coded[k]))
-        while order:
-            size = len(self.coded[order[0]])
-            members = [k for k in order if len(self.coded[k]) <= max(size, CLASS_RATIO * size)]
-            order = order[len(members) :]
-            edges = [0, 2, max(4, size // 4), max(5, size // 2 + 2), max(6, 3 * size // 2)]
-            for _ in range(WALKS):
-                steps = [int(rng.integers(a, b)) for a, b in zip(edges, edges[1:])]
-                bits = rng.integers(0, 2, (steps[-1] + 1, self.pad + 1), np.int32)
-                bits[:, self.pad] = 0
-                keys: dict[tuple[int, ...], list[int]] = {}
-                for k in members:
-                    keys.setdefault(self._item_samples(self.coded[k][:size], bits, steps), []).append(k)
-                self.tables.append((size, bits, steps, self._levels(keys)))
-
-    def _item_samples(self, words: np.ndarray, bits: np.ndarray, steps: list[int]) -> tuple[int, ...]:
-        at, out, row = 0, [], [*words.tolist(), self.pad]
-        for step in range(steps[-1] + 1):
-            word = row[min(at, len(words))]
-            if step in steps:
-                out.append(word)
-            at += int(bits[step, word])
-        return tuple(out)
-
-    def _levels(self, keys: dict[tuple[int, ...], list[int]]) -> tuple[np.ndarray, list[np.ndarray], list[list[int]]]:
-        """Which words the first sample may be, then for each further sample the pairs (prefix, word) that go on, sorted;
-        a pair's place is the prefix of the next. Last the items of each whole key."""
-        firsts = sorted({k[0] for k in keys})
-        first = np.full(self.pad + 1, -1, np.int32)
-        first[firsts] = np.arange(len(firsts))
-        place = {(w,): i for i, w in enumerate(firsts)}
-        levels = []
-        for n in range(2, SAMPLES + 1):
-            pairs = sorted({(place[k[: n - 1]], k[n - 1]) for k in keys})
-            index = {p: i for i, p in enumerate(pairs)}
-            levels.append(np.array([p * (self.pad + 1) + w for p, w in pairs], np.int64))
-            place = {k[:n]: index[(place[k[: n - 1]], k[n - 1])] for k in keys}
-        return first, levels, [keys[k] for k in sorted(keys, key=lambda k: place[k])]
+        self.pieces = []  # (words, sorted keys, where the owners of each begin, owners as rows (item, offset), table)
+        owned: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for k, words in enumerate(self.coded):
+            edges = np.linspace(0, len(words), int(EDITS * len(words)) + 2).astype(int).tolist()
+            for low, high in zip(edges, edges[1:]):
+                key = int(self._keys(words[low:high], high - low)[0])
+                owned.setdefault(high - low, {}).setdefault(key, []).append((k, low))
+        for length, owners in sorted(owned.items()):
+            keys = np.array(sorted(owners), np.uint64)
+            table = np.zeros(1 << TABLE_BITS, bool)
+            table[keys >> np.uint64(64 - TABLE_BITS)] = True
+            counts = np.array([len(owners[k]) for k in keys.tolist()])
+            self.pieces.append((length, keys, np.concatenate([[0], np.cumsum(counts)]), np.array([x for k in keys.tolist() for x in owners[k]], np.int64), table))
+
+    def _keys(self, words: np.ndarray, length: int) -> np.ndarray:
+        """Of each run of so many words."""
+        out = np.zeros(max(0, len(words) - length + 1), np.uint64)
+        for k in range(length):
+            out = out * GOLD + words[k : k + len(out)].astype(np.uint64) + np.uint64(1)
+        return mixed(out)
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
-        """Rows (start, item) of windows that agree with an item in a repetition. words: of all documents, a pad after each."""
-        out = [np.zeros((0, 2), np.int64)]
-        begin = np.flatnonzero(words != self.pad).astype(np.int32)
-        opening = words[begin]
-        for size, bits, steps, (first, levels, owners) in self.tables:
-            start, at, state = begin, begin, None
-            taken = 0
-            for step in range(steps[-1] + 1):
-                word = words[at] if step else opening
-                if step == steps[taken]:
-                    seen = np.where(at - start < size, word, self.pad) if step >= size else word
-                    if taken == 0:
-                        state = first[seen]
-                        go = np.flatnonzero(state >= 0)
-                        state = state[go]
-                    else:
-                        keys = state.astype(np.int64) * (self.pad + 1) + seen
-                        state = np.searchsorted(levels[taken - 1], keys)
-                        go = np.flatnonzero(levels[taken - 1][np.minimum(state, len(levels[taken - 1]) - 1)] == keys)
-                        state = state[go]
-                    start, at, word = start[go], at[go], word[go]
-                    taken += 1
-                    if taken == SAMPLES or not len(start):
-                        break
-                at = at + bits[step][word]
-            if taken == SAMPLES and len(start):
-                out.append(np.array([(s, k) for s, t in zip(start.tolist(), state.tolist()) for k in owners[t]], np.int64))
-        return np.unique(np.concatenate(out), axis=0)
+        """Rows (place, start, item): a piece of the item at a place, by which an unedited item would begin at start.
+        words: of all documents, a pad after each."""
+        out = [np.zeros((0, 3), np.int64)]
+        for length, keys, begins, owners, table in self.pieces:
+            own = self._keys(words, length)
+            at = np.flatnonzero(table[own >> np.uint64(64 - TABLE_BITS)])
+            place = np.searchsorted(keys, own[at])
+            same = keys[np.minimum(place, len(keys) - 1)] == own[at]
+            at, place = at[same], place[same]
+            counts = begins[place + 1] - begins[place]
+            which = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - begins[place], counts)
+            at = np.repeat(at, counts)
+            out.append(np.stack([at, at - owners[which, 1], owners[which, 0]], axis=1))
+        return np.concatenate(out)
 
     def verify(self, item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
         """Least edit distance of the item to a run of words of the region, and the run's start and end; the first such end,
@@ -151,7 +111,7 @@ class Searcher:
         found = self.candidates(flat)
         rows = np.searchsorted(begins, found[:, 0], "right") - 1
         regions: dict[tuple[int, int], list[list[int]]] = {}
-        for row, (start, k) in zip(rows.tolist(), found.tolist()):
+        for row, k, start in np.unique(np.stack([rows, found[:, 2], found[:, 1]], axis=1), axis=0).tolist():
             m = len(self.coded[k])
             slack = int(EDITS * m)
             low, high = max(int(begins[row]), start - 2 * slack - 1), min(int(begins[row] + counts[row]), start + m + 2 * slack + 1)
@@ -163,6 +123,9 @@ class Searcher:
         for (row, k), spans in regions.items():
             item = self.coded[k]
             for low, high in spans:
+                # as many words as are not edited must be there
+                if np.isin(flat[low:high], item).sum() < len(item) - int(EDITS * len(item)):
+                    continue
                 distance, start, end = self.verify(item, flat[low:high])
                 if distance <= EDITS * len(item):
                     hit = (distance, len(item), low - int(begins[row]) + start, low - int(begins[row]) + end)

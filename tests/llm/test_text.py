@@ -159,6 +159,23 @@ def test_leaks_and_recall(spark):
     assert clean == set(range(len(texts))) - {i for i, _ in got}
 
 
+def test_leaks_at_the_bound():
+    """All items at the full share of edits, and those of which the first word is edited, are found."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [[r.choice(vocabulary) for _ in range(m)] for m in (7, 30, 45, 59) for _ in range(5)]
+    unknown = vocabulary[:200] + [f"u{i}" for i in range(400)]
+    texts = []
+    for item in items * 8:
+        texts.append(edit(item, 0.2, r, unknown))
+        texts.append(["changed", *edit(item[1:], 0.1, r, unknown)])
+    texts = [[*r.choices(vocabulary, k=30), *t, *r.choices(vocabulary, k=30)] for t in texts]
+    searcher = decontamination.Searcher([(i, [w.encode() for w in x]) for i, x in enumerate(items)])
+    got = {(row, item): d for row, item, d, *_ in searcher.search([" ".join(t) for t in texts])}
+    true = {(i, k): d for i, t in enumerate(texts) for k, x in enumerate(items) if len(set(x) & set(t)) >= 0.5 * len(set(x)) and (d := distance(x, t)) <= decontamination.EDITS * len(x)}
+    assert len(true) >= len(texts) - 40 and got == true
+
+
 def test_leak_edges(spark):
     benchmark = spark.createDataFrame([(1, "alpha beta gamma"), (1, "delta epsilon zeta eta theta"), (None, "nulls have no id here"), (3, "alpha")], "item_id bigint, text string")
     texts = [None, "", "x alpha beta gamma y", "delta EPSILON zeta eta theta", (None, "alpha beta gamma"), "alphabet", (2, "alpha beta gamma")]
