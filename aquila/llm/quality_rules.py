@@ -15,9 +15,10 @@ from aquila.llm.batches import map_chunks
 from aquila.llm.shingles import GOLD, mixed
 from aquila.llm.tables import load
 
-#: Largest share of a text's word characters inside n-grams that occur twice or more, by n; and inside repeated lines.
-MOST_REPEATED = {3: 0.50, 5: 0.50, 8: 0.45, 12: 0.45}
-MOST_IN_LINES = 0.45
+#: Largest share of a text's word characters inside n-grams that occur twice or more, by n; and inside repeated lines. What
+#: lies in longer n-grams lies in shorter ones too, so the limits fall.
+MOST_REPEATED = {3: 0.35, 5: 0.32, 8: 0.28, 12: 0.20}
+MOST_IN_LINES = 0.16
 #: Shorter texts fail.
 LEAST_WORDS = 50
 SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"

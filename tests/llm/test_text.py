@@ -46,6 +46,21 @@ def test_quality_rules(spark, prose):
     assert quality_rules.rule_quality(documents(spark, texts).limit(0)).collect() == []
 
 
+def test_each_quality_rule_decides():
+    """For each rule a text that it alone rejects."""
+    own = lambda k: f"u{k:03}"
+    texts = {}
+    for n, times, alone in ((3, 14, 66), (5, 8, 80), (8, 4, 74), (12, 2, 76)):
+        same, apart = " ".join(f"r{k:03}" for k in range(n)), alone // times
+        texts[n] = " ".join(" ".join([same, *(own(i * apart + k) for k in range(apart))]) for i in range(times))
+    texts["lines"] = "\n".join(f"r000 r001\n{own(3 * i)} {own(3 * i + 1)} {own(3 * i + 2)}" for i in range(20))
+    m = quality_rules.measure(list(texts.values()))
+    for i, rule in enumerate(texts):
+        broken = {n for n, most in quality_rules.MOST_REPEATED.items() if m[f"chars_{n}"][i] > most * m["word_chars"][i]}
+        broken |= {"lines"} if m["dup_line_chars"][i] > quality_rules.MOST_IN_LINES * m["word_chars"][i] else set()
+        assert broken == {rule} and m["n_words"][i] >= 50 and 2 * m["n_repeat_words"][i] <= m["n_words"][i]
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = {r["doc_id"]: r for r in quality_classifier.score_quality(docs, labels).collect()}
