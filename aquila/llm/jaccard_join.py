@@ -6,9 +6,12 @@ shingles in common among the first s - a + l of each. Each document chooses its
 prefix promise many candidates, it takes a longer prefix and asks for more shared shingles. Two documents are compared if
 their prefixes share as many shingles as their sizes and prefixes require.
 
-Documents with equal sets are one node. Groups of near copies are joined to a few pivots first; what a pivot has linked
-needs no comparison within, so a group of thousands costs thousands of comparisons and not their square. All pairs left
-between different groups that pass the filter are compared exactly.
+Documents with equal sets are one node. Each node is compared with one pivot first, the node that most of its lists name,
+and linked nodes get a common label. Then the lists that still hold several labels are read: short ones are paired, pairs
+whose prefixes share too little fall out, and the rest are compared exactly. Of a long list, as a group of thousands of near
+copies makes, no pairs are formed: each node's difference from a pivot of the list takes the place of its set, and the
+differences are joined by the same filter (_gap_entries), again and again if lists stay long. So no link is lost, and a group
+costs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ from pyspark.sql import functions as F
 from aquila.llm.batches import chunks, map_chunks
 from aquila.llm.components import components
 from aquila.llm.shingles import fingerprint, mixed, shingle_sets
-from aquila.llm.tables import drop, load, written
+from aquila.llm.tables import drop, load, ship, written
 
 #: Counters of the sketch, as a power of two, and the rows that it travels in.
-SKETCH_BITS, SKETCH_ROWS = 22, 64
+SKETCH_BITS, SKETCH_ROWS = 22, 256
 #: The most shingles asked for by a prefix's choice, and the cost of comparing two sets in looked-up prefix entries.
 MOST, COMPARE = 8, 4.0
-#: Rounds of pivots before the exact rest.
-PIVOT_ROUNDS = 2
+#: Nodes of one list up to SHORT are paired; a longer list is replaced by lists of differences from a pivot, DEPTH - 1 times.
+SHORT, DEPTH = 12, 4
 #: Rounds that drop entries without a partner of fitting size.
 PRUNINGS = 2
+#: Sets that a task remembers so as not to emit them again.
+REMEMBERED = 200_000
 #: Sizes up to EXACT are told apart; beyond, in steps of STEP.
 EXACT, STEP = 128, 1.01
 
@@ -57,27 +62,28 @@ def scan_sets(docs: DataFrame, n: int) -> DataFrame:
             rows = batch.num_rows
             yield pa.record_batch([batch.column(0), size, node, pa.array([-1] * rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if sketch.any():
-            parts = [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in np.split(sketch, SKETCH_ROWS)]
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SKETCH_ROWS)]
             none = pa.nulls(SKETCH_ROWS, pa.int64())
             yield pa.record_batch([none, none, none, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(parts, pa.binary())], names)
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id bigint, size bigint, node bigint, part int, counts binary")
 
 
 def sum_sketch(scanned: DataFrame) -> np.ndarray:
-    """The sketch of all tasks on the driver, 2**SKETCH_BITS counters that stop at 65535."""
+    """The sketch of all tasks on the driver, 2**SKETCH_BITS counters as float32, which none outgrows."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << SKETCH_BITS) // SKETCH_ROWS, np.uint32)
+        total = np.zeros((1 << SKETCH_BITS) // SKETCH_ROWS, np.int64)
         for b in batches:
             for raw in b.column(1).to_pylist():
-                total += np.frombuffer(zlib.decompress(raw), np.uint16)
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)], pa.binary())], ["part", "counts"])
+                total += np.frombuffer(zlib.decompress(raw), np.uint32)
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())], ["part", "counts"])
 
-    rows = scanned.where("part >= 0").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    sketch = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.uint16)
+    rows = scanned.where("part >= 0").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # SKETCH_ROWS rows
+    sketch = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.float32)
     for r in rows:
-        sketch[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
+        sketch[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.float32)
     return sketch.ravel()
 
 
@@ -112,6 +118,8 @@ def emit_prefixes(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarra
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 if not len(s) or (node := fingerprint(s)) in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(node)
                 count = counters[_counter(s)]
                 order = np.lexsort((mixed(s.view(np.uint64)), count))
@@ -166,14 +174,23 @@ def _sizes(num: int, den: int) -> Column:
     return F.collect_set(F.struct(_step(F.col("size")).alias("step"), chosen.cast("int").alias("l"))).alias("sizes")
 
 
+def _counted(entries: DataFrame, name: str) -> DataFrame:
+    """Each entry once, with the number of its node's entries."""
+    entries = entries.repartition("node").distinct()
+    return written(entries.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("node"))), name)  # no longer than a prefix
+
+
 def _pruned(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Entries whose list holds a partner, by size and l, that asks for no more shared entries than their node has, with
     these counted anew."""
     lists = entries.groupBy("token").agg(_sizes(num, den), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
+    lists = written(lists.select("token", "sizes"), "lists")
     asked = _least_asked(num, den)
-    kept = entries.join(written(lists.select("token", "sizes"), "lists"), "token").where(F.exists("sizes", lambda group: F.coalesce(F.col("found") >= asked(group), F.lit(False)))).select("node", "token", "size", "prefix")
-    kept = written(kept, "kept-entries")
-    return written(kept.join(written(kept.groupBy("node").agg(F.count(F.lit(1)).alias("found")), "nodes"), "node"), "entries")
+    kept = entries.join(lists, "token").where(F.exists("sizes", lambda group: F.coalesce(F.col("found") >= asked(group), F.lit(False)))).select("node", "token", "size", "prefix")
+    kept = _counted(kept, "entries")
+    drop(entries)
+    drop(lists)
+    return kept
 
 
 def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -182,71 +199,124 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     nodes: node, rep (a document with that set)."""
     prefixes = written(emit_prefixes(docs, n, num, den, sketch), "prefixes")
     shared = prefixes.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("token")
-    entries = written(prefixes.join(shared, "token").distinct(), "shared-prefixes")
-    drop(prefixes)
     # One shared entry can be enough, whatever l a node has chosen; the sizes and l in its lists tell.
-    entries = written(entries.join(written(entries.groupBy("node").agg(F.count(F.lit(1)).alias("found")), "nodes"), "node"), "entries")
+    entries = _counted(prefixes.join(shared, "token"), "entries")
+    drop(prefixes)
     for _ in range(PRUNINGS):
         entries = _pruned(entries, num, den)
     info = written(entries.select("node").distinct(), "partnered")
-    wanted = info.join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
-    texts = docs.join(wanted, "doc_id")
-
-    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = shingle_sets(batch.column(1).to_pylist(), n)
-        # a repeated doc_id can bring other texts
-        keep = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and fingerprint(s) == node]
-        return pa.record_batch([pa.array([k for k, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.list_(pa.int64()))], ["node", "shingles"]) if keep else None
-
-    sets = written(map_chunks(texts.select("node", "text"), "text", "node bigint, shingles array<bigint>", lambda: sets_of), "sets")
+    sets = written(_sets_of(docs, info, nodes, n), "sets")
+    heads = written(entries.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.collect_set("token").alias("head")), "heads")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        joined = pairs.join(one, "a").join(other, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("u"))
-        return joined.where(F.col("i") * den >= (F.col("u") - F.col("i")) * num).select("a", "b").distinct()
-
-    found = labels = None
-    for step in range(PIVOT_ROUNDS):
-        here = entries if labels is None else entries.join(labels, "node", "left")
-        here = here.withColumn("label", F.col("node") if labels is None else F.coalesce("root", "node"))
-        # The pivot of a shingle: the node with the fewest entries of its own alone, which is nearest to the others.
-        alone = (F.col("prefix") - F.col("found")).alias("alone")
-        pivot = here.groupBy("token").agg(F.min(F.struct(alone, F.xxhash64("node", F.lit(step)).alias("h"), "node", "label", "size")).alias("p"), F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-        pivot = written(pivot.select("token", F.col("p.node").alias("b"), F.col("p.label").alias("b_label"), F.col("p.size").alias("b_size")), "pivots")
-        near = here.join(pivot, "token").where((F.col("label") != F.col("b_label")) & (F.least("size", "b_size") * den >= F.greatest("size", "b_size") * num))
-        best = near.groupBy("node", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "b")).alias("p"))
-        new = written(compared(best.select(F.col("node").alias("a"), F.col("p.b").alias("b"))), "links")
-        found = new if found is None else written(found.unionByName(new), "links")
-        if new.isEmpty():
-            break
-        labels = written(components(found), "labels")
-    here = (entries.join(labels, "node", "left") if labels is not None else entries.withColumn("root", F.lit(None))).withColumn("label", F.coalesce("root", "node"))
-    open_ = here.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    here = written(here.join(written(open_, "open"), "token"), "open-entries")
+        one, other = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        joined = written(_promising(pairs, heads, num, den), "promising").join(one, "a").join(other, "b")
+        return joined.where(_linked(F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb")), num, den)).select("a", "b").distinct()
+
+    # The pivot of a shingle: the node with the fewest entries of its own alone, which is nearest to the others.
+    alone = (F.col("prefix") - F.col("found")).alias("alone")
+    pivot = entries.groupBy("token").agg(F.min(F.struct(alone, F.xxhash64("node").alias("h"), "node")).alias("p"))
+    near = entries.join(pivot.select("token", F.col("p.node").alias("b")), "token").where("node != b")
+    best = near.groupBy("node", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "b")).alias("p"))
+    found = written(compared(best.select(F.col("node").alias("a"), F.col("p.b").alias("b"))), "links")
+    labels = written(components(found), "labels")
+
+    here = entries.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root", "found")
+    open_ = here.groupBy("token").agg(_sizes(num, den), F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").drop("x", "y")
+    here = here.join(written(open_, "open"), "token").withColumn("asked", F.array_min(F.transform("sizes", _least_asked(num, den)))).where("asked is not null").drop("sizes")
     # Two nodes that share k entries share one among all but the last k - 1 of each, in any common order.
-    here = here.withColumn("step", _step(F.col("size"))).drop("found")
-    lists = written(here.groupBy("token").agg(_sizes(num, den), F.count(F.lit(1)).alias("held")), "lists")
     own = Window.partitionBy("node")
-    here = here.join(lists, "token").withColumn("asked", F.array_min(F.transform("sizes", _least_asked(num, den)))).where("asked is not null").drop("sizes")
-    here = here.withColumns({"found": F.count(F.lit(1)).over(own), "asked": F.greatest(F.lit(1), F.min("asked").over(own)), "nth": F.row_number().over(own.orderBy("held", "token"))})
-    here = written(here.where("nth <= found - asked + 1").select("token", "node", "size", "prefix", "found", "label", "step"), "first-entries")
-    groups = written(here.groupBy("token", "label", "step").agg(F.max("found").alias("most"), F.min("size").alias("low"), F.max("size").alias("high"), F.min(F.col("prefix") - F.col("size")).alias("slack")), "groups")
-    g, h = groups.alias("g"), groups.alias("h")
-    asked = F.least("g.slack", "h.slack") + F.ceil((F.col("g.low") + F.col("h.low")) * F.lit(num) / F.lit(num + den))
-    fits = (F.col("g.label") < F.col("h.label")) & (F.col("g.most") >= asked) & (F.col("h.most") >= asked) & (F.least("g.high", "h.high") * den >= F.greatest("g.low", "h.low") * num)
-    meet = g.join(h, (F.col("g.token") == F.col("h.token")) & fits).select(F.col("g.token").alias("t"), F.col("g.label").alias("x"), F.col("g.step").alias("x_step"), F.col("h.label").alias("y"), F.col("h.step").alias("y_step"))
-    meet = written(meet, "meetings")
-    left = meet.join(here.alias("a"), (meet.t == F.col("a.token")) & (meet.x == F.col("a.label")) & (meet.x_step == F.col("a.step"))).select(F.struct("a.node", "a.size", "a.prefix", "a.found").alias("a"), "t", "y", "y_step")
-    need = _shared_at_least(num, den, "a", "b")
-    pairs = left.join(here.alias("b"), (left.t == F.col("b.token")) & (left.y == F.col("b.label")) & (left.y_step == F.col("b.step")) & (F.col("a.found") >= need) & (F.col("b.found") >= need) & (F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    rest = written(compared(pairs), "links")
-    found = written(found.unionByName(rest), "links")
+    here = here.withColumns({"d": F.count(F.lit(1)).over(own), "asked": F.greatest(F.lit(1), F.min("asked").over(own)), "nth": F.row_number().over(own.orderBy("held", "token"))})
+    here = here.where("nth <= d - asked + 1").select(F.col("token").alias("key"), "node", "label", "size", "prefix", "d", "nth", (F.col("prefix") - F.col("d")).alias("alone"))
+    here, fits = written(here, "first-entries"), _fits_prefixes(num, den)
+    for depth in range(DEPTH):
+        lists = here.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), "node")).alias("p"))
+        here = written(here.join(written(lists.where("x != y").select("key", "held", F.col("p.node").alias("p")), "lists"), "key"), "listed")
+        last = depth == DEPTH - 1
+        short = here if last else here.where(F.col("held") <= SHORT)
+        pairs = short.alias("a").join(short.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & fits)
+        pairs = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+        found = written(found.unionByName(compared(pairs)), "links")
+        members = here.where(F.col("held") > SHORT).select("node", "label", "size", "p").distinct()
+        if last or members.isEmpty():
+            break
+        gaps = written(_differences(members, sets, num, den), "differences")
+        found = written(found.unionByName(gaps.where("linked and node != p").select(F.col("node").alias("a"), F.col("p").alias("b"))), "links")
+        here, fits = written(_gap_entries(gaps, num, den), "gap-entries"), _fits_gaps(num, den)
     return found, components(found)
 
 
+def _sets_of(docs: DataFrame, info: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node, shingles of the nodes of ``info``, each once."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sets = shingle_sets(batch.column(1).to_pylist(), n)
+        # a repeated doc_id can bring other texts
+        keep = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and node in (None, fingerprint(s))]
+        return pa.record_batch([pa.array([fingerprint(s) for _, s in keep], pa.int64()), pa.array([s for _, s in keep], pa.list_(pa.int64()))], ["node", "shingles"]) if keep else None
+
+    wanted = written(info.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")  # its size decides how texts are joined
+    texts = docs.join(wanted, "doc_id").select("node", "text").unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text"))
+    return map_chunks(texts, "text", "node bigint, shingles array<bigint>", lambda: step).join(info, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _linked(size: Column, other: Column, shared: Column, num: int, den: int) -> Column:
+    return shared * den >= (size + other - shared) * num
+
+
+def _promising(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose prefixes share as many entries as those of linked nodes do."""
+    one, other = (heads.select(F.col("node").alias(x), F.struct("size", "prefix", "head").alias(f"h{x}")) for x in "ab")
+    both = F.size(F.array_intersect("ha.head", "hb.head"))
+    fit = F.least("ha.size", "hb.size") * den >= F.greatest("ha.size", "hb.size") * num
+    return pairs.join(one, "a").join(other, "b").where(fit & (both >= _shared_at_least(num, den, "ha", "hb"))).select("a", "b")
+
+
+def _fits_prefixes(num: int, den: int) -> Column:
+    need = F.greatest(F.lit(1), _shared_at_least(num, den, "a", "b"))
+    place = (F.col("a.nth") <= F.col("a.d") - need + 1) & (F.col("b.nth") <= F.col("b.d") - need + 1)
+    return place & (F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num)
+
+
+def _differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """To each (node, label, size, p) the pivot's size, whether it is linked with the pivot, and gap: the shingles that one
+    of the two has alone."""
+    one, pivot = sets.select("node", "shingles"), sets.select(F.col("node").alias("p"), F.col("shingles").alias("ps"))
+    joined = members.join(one, "node").join(pivot, "p").withColumn("gap", F.concat(F.array_except("shingles", "ps"), F.array_except("ps", "shingles")))
+    shared = F.expr("(size + size(ps) - size(gap)) div 2")
+    return joined.select("node", "label", "size", "p", F.size("ps").alias("p_size"), _linked(F.col("size"), F.size("ps"), shared, num, den).alias("linked"), "gap")
+
+
+def _gap_entries(gaps: DataFrame, num: int, den: int) -> DataFrame:
+    """The lists that replace a long one. Nodes x and y differ in as many shingles as their gaps do. Two that are both linked
+    with the pivot need no comparison; of any others that are linked, the gaps share
+
+        need >= (|gap x| + |gap y| - (den - num) * (size x + size y) / (den + num)) / 2
+
+    shingles, and at least one: a gap of a node that isn't linked is too large to stand against a gap without a common
+    shingle. So two linked nodes share one among all but the last need - 1 of their gaps' shingles that others have too, rare
+    ones first."""
+    cells = gaps.select("node", "label", "size", "p", "p_size", "linked", F.size("gap").alias("gap"), F.explode("gap").alias("token"))
+    least = [F.min("gap").alias("least"), F.min(F.when(~F.col("linked"), F.col("gap"))).alias("least_open"), F.max("size").alias("most")]
+    lists = cells.groupBy("p", "token").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y"), *least).where("x != y and least_open is not null")
+    own = Window.partitionBy("p", "node")
+    cells = cells.join(written(lists.drop("x", "y"), "gap-lists"), ["p", "token"])
+    other = F.when(F.col("linked"), F.col("least_open")).otherwise(F.col("least"))  # a partner's gap, at least
+    asked = F.greatest(F.lit(1), F.ceil(_shared_gap(F.col("gap") + other, F.col("size") + F.col("most"), num, den)))
+    cells = cells.withColumns({"d": F.count(F.lit(1)).over(own), "asked": F.min(asked).over(own), "nth": F.row_number().over(own.orderBy("held", "token"))})
+    return cells.where("nth <= d - asked + 1").select(F.xxhash64("p", "token").alias("key"), "node", "label", "size", "linked", "gap", "d", "nth", (F.col("gap") - F.col("d")).alias("alone"))
+
+
+def _shared_gap(gaps: Column, sizes: Column, num: int, den: int) -> Column:
+    """What the gaps of two linked nodes share, at least; a little less, for rounding."""
+    return (gaps - sizes * F.lit((den - num) / (den + num))) / 2 - 1e-6
+
+
+def _fits_gaps(num: int, den: int) -> Column:
+    need = F.greatest(F.lit(1), F.ceil(_shared_gap(F.col("a.gap") + F.col("b.gap"), F.col("a.size") + F.col("b.size"), num, den)))
+    return (F.col("a.nth") <= F.col("a.d") - need + 1) & (F.col("b.nth") <= F.col("b.d") - need + 1) & ~(F.col("a.linked") & F.col("b.linked"))
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles (of its set), component_id (the least doc_id reachable by links, its
     own included). Documents link if den * |intersection| >= num * |union| of their sets of n-word shingles, A-Z

@@ -247,6 +247,59 @@ def test_jaccard_links_of_one_shared_entry(spark):
         assert {r["component_id"] for r in jaccard_join.jaccard_groups(documents(spark, rows), n=3, num=90).collect()} == {0}
 
 
+def test_jaccard_group_of_2000_near_copies(spark, monkeypatch):
+    """Two families of edited copies: the components of brute force, from a few pairs for each text and not their square.
+    All pairs that are compared share as many prefix entries as linked texts do."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    bases = [r.choices(words, k=150), r.choices(words, k=150)]
+    bases[1][:70] = bases[0][:70]
+    texts = []
+    for k in range(2000):
+        w = list(bases[k % 2 and r.random() < 0.5])
+        for _ in range(r.choice([1, 1, 2, 2, 3, 4, 6, 9])):
+            w[r.randrange(150)] = r.choice(words)
+        if k % 9 == 0:  # copies of a copy
+            w = texts[r.randrange(len(texts))].split() if texts else w
+            w[r.randrange(150)] = f"own{k}"
+        texts.append(" ".join(w))
+    seen = {}
+
+    def spy(df, name, keep=jaccard_join.written):
+        out = keep(df, name)
+        if name in ("pairs", "promising", "heads"):
+            seen.setdefault(name, []).extend(map(tuple, out.collect()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_groups(documents(spark, texts), n=3, num=90).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(148)} for w in map(str.split, texts)]
+    place = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(place)), np.float32)
+    for i, own in enumerate(sets):
+        held[i, [place[s] for s in own]] = 1
+    both, size = held @ held.T, held.sum(1)
+    linked = 100 * both >= 90 * (size[:, None] + size - both)
+    want = np.arange(len(sets))
+    while (new := np.where(linked, want[None], len(sets)).min(1)).tolist() != want.tolist():
+        want = new
+    assert got == dict(enumerate(want.tolist())) and 100 < len(set(want.tolist())) < 1500
+    assert 0 < len(seen["pairs"]) < jaccard_join.SHORT * len(texts)
+    heads = {node: (size, prefix, set(head)) for node, size, prefix, head in seen["heads"]}
+    for a, b in seen["promising"]:
+        (sa, pa, ha), (sb, pb, hb) = heads[a], heads[b]
+        assert len(ha & hb) >= min(pa - sa, pb - sb) - (-90 * (sa + sb) // 190)
+
+
+def test_jaccard_null_ids_bridge(spark):
+    """A text that only rows without a doc_id hold links two others."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [(i, " ".join([*(f"x{j}" for j in range(3 * i)), *words[3 * i :]])) for i in (0, 1, 2)]
+    rows = [texts[0], (None, texts[1][1]), (None, texts[1][1]), texts[2]]
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_groups(documents(spark, rows), n=3, num=90).collect()), key=str)
+    assert got == brute_groups(rows, 3, 90, 100) and got[0][2] == got[1][2] == 0
+
+
 def test_prefixes_keep_all_links():
     """Prefixes of any two linked sets share as many shingles as the filter asks for, whatever each has chosen."""
     r = random.Random(2)
