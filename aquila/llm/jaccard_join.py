@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from aquila.llm.batches import chunks, map_chunks
 from aquila.llm.components import components
 from aquila.llm.shingles import fingerprint, mixed, shingle_sets
-from aquila.llm.tables import drop, load, ship, written
+from aquila.llm.tables import bucketed, buckets, drop, load, ship, written
 
 #: Counters of the sketch, as a power of two, and the rows that it travels in.
 SKETCH_BITS, SKETCH_ROWS = 22, 256
@@ -39,6 +39,8 @@ SHORT, DEPTH = 12, 4
 PRUNINGS = 2
 #: Sets that a task remembers so as not to emit them again.
 REMEMBERED = 200_000
+#: The most bits of the bitmap of wanted documents, as a power of two: 16 MB.
+BITMAP_BITS = 27
 #: Sizes up to EXACT are told apart; beyond, in steps of STEP.
 EXACT, STEP = 128, 1.01
 
@@ -47,6 +49,16 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
     return (shingles.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """In the narrowest unsigned type, which the first byte names."""
+    kind = np.min_scalar_type(counts.max())
+    return kind.char.encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), raw[:1].decode())
+
+
 def scan_sets(docs: DataFrame, n: int) -> DataFrame:
     """part = -1: doc_id, size and node (the set's fingerprint; null without words) of a document. part >= 0: a task's
     counts of shingles in that part of the sketch."""
@@ -62,7 +74,7 @@ def scan_sets(docs: DataFrame, n: int) -> DataFrame:
             rows = batch.num_rows
             yield pa.record_batch([batch.column(0), size, node, pa.array([-1] * rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if sketch.any():
-            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SKETCH_ROWS)]
+            parts = [_packed(p) for p in np.split(sketch, SKETCH_ROWS)]
             none = pa.nulls(SKETCH_ROWS, pa.int64())
             yield pa.record_batch([none, none, none, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -77,13 +89,13 @@ def sum_sketch(scanned: DataFrame) -> np.ndarray:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_ROWS, np.int64)
         for b in batches:
             for raw in b.column(1).to_pylist():
-                total += np.frombuffer(zlib.decompress(raw), np.uint32)
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())], ["part", "counts"])
+                total += _unpacked(raw)
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(total)], pa.binary())], ["part", "counts"])
 
     rows = scanned.where("part >= 0").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # SKETCH_ROWS rows
     sketch = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.float32)
     for r in rows:
-        sketch[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.float32)
+        sketch[r["part"]] = _unpacked(r["counts"])
     return sketch.ravel()
 
 
@@ -205,7 +217,7 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     for _ in range(PRUNINGS):
         entries = _pruned(entries, num, den)
     info = written(entries.select("node").distinct(), "partnered")
-    sets = written(_sets_of(docs, info, nodes, n), "sets")
+    sets = _sets_of(docs, info, nodes, n)
     heads = written(entries.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.collect_set("token").alias("head")), "heads")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -228,7 +240,7 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     own = Window.partitionBy("node")
     here = here.withColumns({"d": F.count(F.lit(1)).over(own), "asked": F.greatest(F.lit(1), F.min("asked").over(own)), "nth": F.row_number().over(own.orderBy("held", "token"))})
     here = here.where("nth <= d - asked + 1").select(F.col("token").alias("key"), "node", "label", "size", "prefix", "d", "nth", (F.col("prefix") - F.col("d")).alias("alone"))
-    here, fits = written(here, "first-entries"), _fits_prefixes(num, den)
+    here, fits, direct = written(here, "first-entries"), _fits_prefixes(num, den), None
     for depth in range(DEPTH):
         lists = here.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), "node")).alias("p"))
         here = written(here.join(written(lists.where("x != y").select("key", "held", F.col("p.node").alias("p")), "lists"), "key"), "listed")
@@ -236,28 +248,40 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
         short = here if last else here.where(F.col("held") <= SHORT)
         pairs = short.alias("a").join(short.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & fits)
         pairs = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
-        found = written(found.unionByName(compared(pairs)), "links")
+        direct = pairs if direct is None else direct.unionByName(pairs)
         members = here.where(F.col("held") > SHORT).select("node", "label", "size", "p").distinct()
         if last or members.isEmpty():
             break
         gaps = written(_differences(members, sets, num, den), "differences")
         found = written(found.unionByName(gaps.where("linked and node != p").select(F.col("node").alias("a"), F.col("p").alias("b"))), "links")
         here, fits = written(_gap_entries(gaps, num, den), "gap-entries"), _fits_gaps(num, den)
+    found = written(found.unionByName(compared(direct.distinct())), "links")
     return found, components(found)
 
 
 def _sets_of(docs: DataFrame, info: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, shingles of the nodes of ``info``, each once."""
+    """node, shingles of the nodes of ``info``, each once. A bitmap of the wanted documents, of at most 2**BITMAP_BITS bits
+    however many they are, keeps most others from being shuffled."""
+    wanted = written(info.join(nodes, "node"), "wanted")
+    bits = min(BITMAP_BITS, max(12, (32 * wanted.count()).bit_length()))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).alias("bucket")
+    marks = wanted.where("rep is not null").select(bucket("rep")).groupBy((F.col("bucket") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("marks")).toArrow()
+    bitmap = np.zeros(1 << bits >> 6, np.int64)
+    bitmap[marks.column("word").to_numpy()] = marks.column("marks").to_numpy()
+    shared_bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at = batch.column(2).fill_null(0).to_numpy()
+        marked = (shared_bitmap.value[at >> 6] >> (at & 63)) & 1 | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        batch = batch.take(pa.array(np.flatnonzero(marked)))
         sets = shingle_sets(batch.column(1).to_pylist(), n)
-        # a repeated doc_id can bring other texts
-        keep = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and node in (None, fingerprint(s))]
-        return pa.record_batch([pa.array([fingerprint(s) for _, s in keep], pa.int64()), pa.array([s for _, s in keep], pa.list_(pa.int64()))], ["node", "shingles"]) if keep else None
+        nodes = [fingerprint(s) if len(s) else None for s in sets]
+        return pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "node", "shingles"])
 
-    wanted = written(info.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")  # its size decides how texts are joined
-    texts = docs.join(wanted, "doc_id").select("node", "text").unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text"))
-    return map_chunks(texts, "text", "node bigint, shingles array<bigint>", lambda: step).join(info, "node", "left_semi").dropDuplicates(["node"])
+    found = map_chunks(docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), bucket("doc_id")).alias("bucket")), "text", "doc_id bigint, node bigint, shingles array<bigint>", lambda: step)
+    # a repeated doc_id can bring other texts
+    found = found.repartition(buckets(docs.sparkSession), "node").join(wanted.withColumnRenamed("node", "own"), (F.col("node") == F.col("own")) & F.coalesce(F.col("doc_id") == F.col("rep"), F.col("doc_id").isNull() & F.col("rep").isNull()))  # dealt by node alone
+    return bucketed(found.select("node", "shingles").dropDuplicates(["node"]), "sets", "node")
 
 
 def _linked(size: Column, other: Column, shared: Column, num: int, den: int) -> Column:

@@ -58,7 +58,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, name: str, col: str) -> DataFrame:
+    """As ``written``, in buckets of a column, so that joins on it move only their other side. ``df`` is dealt by the column
+    into as many partitions, ``buckets``."""
+    spark = df.sparkSession
+    table = f"aquila_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/llm/{table}"
+    df.write.format("parquet").bucketBy(buckets(spark), col).sortBy(col).option("path", path).saveAsTable(table)
+    _written.append((spark, path))
+    out = spark.table(table)
+    out._aquila_path = path
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if (table := path.rpartition("/")[2]).startswith("aquila_"):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
