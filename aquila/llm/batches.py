@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from aquila.llm.tables import ship
 
 #: Bytes of text handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text_col: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -28,6 +30,13 @@ def chunks(batches: Iterable[pa.RecordBatch], text_col: str, limit: int = CHUNK_
             yield batch.slice(start)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system at the end of a task, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_chunks(df: DataFrame, text_col: str, schema: str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """``start()`` is called once a task and returns what turns a chunk into result rows."""
 
@@ -36,6 +45,7 @@ def map_chunks(df: DataFrame, text_col: str, schema: str, start: Callable[[], Ca
         for chunk in chunks(batches, text_col):
             if (out := step(chunk)) is not None:
                 yield out
+        trim()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aquila.llm.batches import chunks, map_chunks
+from aquila.llm.batches import chunks, map_chunks, trim
 from aquila.llm.components import components
 from aquila.llm.shingles import fingerprint, mixed, shingle_sets
 from aquila.llm.tables import bucketed, buckets, drop, load, ship, written
@@ -33,8 +33,9 @@ from aquila.llm.tables import bucketed, buckets, drop, load, ship, written
 SKETCH_BITS, SKETCH_ROWS = 22, 256
 #: The most shingles asked for by a prefix's choice, and the cost of comparing two sets in looked-up prefix entries.
 MOST, COMPARE = 8, 4.0
-#: Nodes of one list up to SHORT are paired; a longer list is replaced by lists of differences from a pivot, DEPTH - 1 times.
-SHORT, DEPTH = 12, 4
+#: Nodes of a list up to SHORT are paired; a longer list is replaced by lists of differences from a pivot, DEPTH - 1 times. In
+#: these few pairs fit, so lists up to SHORT_GAPS are paired.
+SHORT, SHORT_GAPS, DEPTH = 12, 256, 4
 #: Rounds that drop entries without a partner of fitting size.
 PRUNINGS = 2
 #: Sets that a task remembers so as not to emit them again.
@@ -77,6 +78,7 @@ def scan_sets(docs: DataFrame, n: int) -> DataFrame:
             parts = [_packed(p) for p in np.split(sketch, SKETCH_ROWS)]
             none = pa.nulls(SKETCH_ROWS, pa.int64())
             yield pa.record_batch([none, none, none, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(parts, pa.binary())], names)
+        trim()
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id bigint, size bigint, node bigint, part int, counts binary")
@@ -244,12 +246,12 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     for depth in range(DEPTH):
         lists = here.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), "node")).alias("p"))
         here = written(here.join(written(lists.where("x != y").select("key", "held", F.col("p.node").alias("p")), "lists"), "key"), "listed")
-        last = depth == DEPTH - 1
-        short = here if last else here.where(F.col("held") <= SHORT)
+        last, most = depth == DEPTH - 1, SHORT_GAPS if depth else SHORT
+        short = here if last else here.where(F.col("held") <= most)
         pairs = short.alias("a").join(short.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & fits)
         pairs = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
         direct = pairs if direct is None else direct.unionByName(pairs)
-        members = here.where(F.col("held") > SHORT).select("node", "label", "size", "p").distinct()
+        members = here.where(F.col("held") > most).select("node", "label", "size", "p").distinct()
         if last or members.isEmpty():
             break
         gaps = written(_differences(members, sets, num, den), "differences")

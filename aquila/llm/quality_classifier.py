@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquila.llm.batches import map_chunks
+from aquila.llm.batches import map_chunks, trim
 from aquila.llm.tables import load, ship
 
 #: Words share WORD_ROWS vectors by hash and shapes SHAPE_ROWS, however large the vocabulary; numbers of a vector; non-zero
@@ -33,7 +33,7 @@ BLOCKS = 256
 #: Words that a worker remembers, of at most so many bytes.
 REMEMBERED, LONG_WORD = 100_000, 100
 #: Bytes of text handled at once; a longer text is handled in pieces.
-PIECE = 1 << 18
+PIECE = 1 << 17
 _SHAPE = bytes(ord("A") if 65 <= c <= 90 else ord("0") if 48 <= c <= 57 else ord("a") if 97 <= c <= 122 or c >= 128 else c for c in range(256))
 _RUN, _WHITE = re.compile(rb"([Aa0])\1+"), re.compile(rb"[ \t-\r]")
 
@@ -126,6 +126,7 @@ def count_contexts(docs: DataFrame) -> np.ndarray:
         if total.any():
             total = (total[::2] - total[1::2]).astype("<i4" if len(total) < 1 << 31 and np.abs(total).max() < 1 << 31 else "<i8")
             yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([total.dtype.char.encode() + zlib.compress(b.tobytes(), 1) for b in np.split(total, BLOCKS)], pa.binary())], ["block", "sums"])
+        trim()
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * DIM // BLOCKS, np.int64)
