@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aquila.functions.udf import declare
+from aquila.plans.nodes import Table, walk
+from aquila.plans.parser import parse
 from aquila.session import Config, Engine
 from aquila.sources.catalog import Catalog, parquet_catalog
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SKY = "SELECT c_custkey AS id, (CAST(c_custkey AS DOUBLE) * CAST(137.50776405 AS DOUBLE)) % CAST(360 AS DOUBLE) AS lon, degrees(asin(CAST(2 AS DOUBLE) * ((CAST(c_custkey AS DOUBLE) * CAST(0.61803398875 AS DOUBLE)) % CAST(1 AS DOUBLE)) - CAST(1 AS DOUBLE))) AS lat FROM customer"
+SKY = "SELECT c_custkey AS id, (CAST(c_custkey AS DOUBLE) * CAST(137.50776405 AS DOUBLE)) % CAST(360 AS DOUBLE) AS lon, degrees(asin(CAST(2 AS DOUBLE) * ((CAST(c_custkey AS DOUBLE) * CAST(0.7548776662 AS DOUBLE)) % CAST(1 AS DOUBLE)) - CAST(1 AS DOUBLE))) AS lat FROM customer"
 _D = "2 * degrees(asin(least(1, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
 
 
@@ -20,6 +22,16 @@ def _distance(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return _D.format(lon1=lon1, lat1=lat1, lon2=lon2, lat2=lat2)
 
 
+_OWN = ", ".join(f"'{t}'" for t in TABLES)
+_LISTED_TABLES = (
+    f"SELECT NULL::VARCHAR AS schema_name, table_name, 'table' AS table_type FROM information_schema.tables WHERE table_name IN ({_OWN}) UNION ALL SELECT NULL, 'sky', 'table'"
+    " UNION ALL SELECT 'TAP_SCHEMA', 'TAP_SCHEMA.' || unnest(['schemas', 'tables', 'columns', 'keys', 'key_columns']), 'table'"
+)
+_LISTED_COLUMNS = (
+    f"SELECT table_name, column_name, CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE data_type END AS datatype FROM information_schema.columns WHERE table_name IN ({_OWN})"
+    " UNION ALL SELECT * FROM (VALUES ('sky', 'id', 'BIGINT'), ('sky', 'lon', 'DOUBLE'), ('sky', 'lat', 'DOUBLE'))"
+)
+
 #: name: (query, SQL for DuckDB, or None where there is none)
 CASES: dict[str, tuple[str, str | None]] = {
     "flagship": (
@@ -42,23 +54,23 @@ CASES: dict[str, tuple[str, str | None]] = {
     "distinct": ("SELECT DISTINCT o_orderstatus FROM orders", "SELECT DISTINCT o_orderstatus FROM orders"),
     "select_all": ("SELECT ALL o_orderstatus FROM orders", "SELECT o_orderstatus FROM orders"),
     "filter_cmp": ("SELECT o_orderkey FROM orders WHERE o_totalprice >= 1000 AND o_orderstatus <> 'F' AND o_orderkey != 5", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 1000 AND o_orderstatus <> 'F' AND o_orderkey != 5"),
-    "filter_time": ("SELECT o_orderkey FROM orders WHERE o_orderdate >= '1995-01-01'", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'"),
+    "filter_time": ("SELECT o_orderkey FROM orders WHERE o_orderdate >= '1998-01-01'", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'"),
     "and_or_prec": ("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderstatus = 'O' AND o_totalprice > 100000", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_totalprice > 100000)"),
-    "not_group": ("SELECT p_partkey FROM part WHERE NOT (p_size > 25 OR p_retailprice < 1000)", "SELECT p_partkey FROM part WHERE NOT (p_size > 25 OR p_retailprice < 1000)"),
+    "not_group": ("SELECT p_partkey FROM part WHERE NOT (p_size > 25 OR p_retailprice < 910)", "SELECT p_partkey FROM part WHERE NOT (p_size > 25 OR p_retailprice < 910)"),
     "like": ("SELECT n_name FROM nation WHERE n_name LIKE 'NATION_1%'", "SELECT n_name FROM nation WHERE n_name LIKE 'NATION_1%'"),
     "not_like": ("SELECT n_name FROM nation WHERE n_name NOT LIKE '%1_'", "SELECT n_name FROM nation WHERE n_name NOT LIKE '%1_'"),
     "between": ("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20"),
     "not_between": ("SELECT p_partkey FROM part WHERE p_size NOT BETWEEN 10 AND 20", "SELECT p_partkey FROM part WHERE p_size NOT BETWEEN 10 AND 20"),
     "in_list": ("SELECT n_name FROM nation WHERE n_regionkey IN (1, 2, 3)", "SELECT n_name FROM nation WHERE n_regionkey IN (1, 2, 3)"),
     "not_in_list": ("SELECT n_name FROM nation WHERE n_regionkey NOT IN (1, 1 + 1)", "SELECT n_name FROM nation WHERE n_regionkey NOT IN (1, 2)"),
-    "in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)"),
-    "not_in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 460000)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 460000)"),
+    "not_in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
     "in_subquery_top": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT TOP 7 o_custkey FROM orders ORDER BY o_custkey)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders ORDER BY o_custkey LIMIT 7)"),
     "in_correlated": ("SELECT c.c_custkey FROM customer AS c WHERE 'F' IN (SELECT o_orderstatus FROM orders WHERE o_custkey = c.c_custkey)", "SELECT c_custkey FROM customer c WHERE 'F' IN (SELECT o_orderstatus FROM orders WHERE o_custkey = c.c_custkey)"),
-    "exists_correlated": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)"),
-    "not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT * FROM orders AS O WHERE o.o_custkey = customer.c_custkey)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey)"),
-    "is_null": ("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL"),
-    "is_not_null": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NOT NULL", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NOT NULL"),
+    "exists_correlated": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 460000)", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 460000)"),
+    "not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT * FROM orders AS O WHERE o.o_custkey = customer.c_custkey AND o.o_totalprice > 400000)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
+    "is_null": ("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NULL", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NULL"),
+    "is_not_null": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NOT NULL", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NOT NULL"),
     "comma_join": ("SELECT n_name, r_name FROM nation, \"region\" WHERE n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey"),
     "inner_on": ("SELECT c_name, o_orderkey FROM customer INNER JOIN orders ON c_custkey = o_custkey", "SELECT c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey"),
     "left_on": ("SELECT c_name, o_orderkey FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000", "SELECT c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000"),
@@ -82,6 +94,10 @@ CASES: dict[str, tuple[str, str | None]] = {
     "having_global": ("SELECT MAX(o_orderkey) AS m FROM orders HAVING COUNT(*) > 3", "SELECT max(o_orderkey) AS m FROM orders HAVING count(*) > 3"),
     "count_distinct": ("SELECT COUNT(DISTINCT o_custkey) AS a, COUNT(ALL o_custkey) AS b FROM orders", "SELECT count(DISTINCT o_custkey) AS a, count(o_custkey) AS b FROM orders"),
     "count_star_distinct": ("SELECT COUNT(DISTINCT *) AS n FROM nation", "SELECT count(*) AS n FROM (SELECT DISTINCT * FROM nation)"),
+    "count_star_distinct_nulls": (
+        "SELECT COUNT(DISTINCT *) AS n FROM (SELECT c_nationkey, o_orderstatus FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000) AS t",
+        "SELECT count(*) AS n FROM (SELECT DISTINCT c_nationkey, o_orderstatus FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000)",
+    ),
     "sum_distinct": ("SELECT SUM(DISTINCT p_size) AS s FROM part", "SELECT sum(DISTINCT p_size)::BIGINT AS s FROM part"),
     "avg_distinct": ("SELECT AVG(DISTINCT p_size) AS s FROM part", "SELECT avg(DISTINCT p_size) AS s FROM part"),
     "min_string": ("SELECT MIN(n_name) AS a, MAX(n_name) AS b FROM nation", "SELECT min(n_name) AS a, max(n_name) AS b FROM nation"),
@@ -92,11 +108,15 @@ CASES: dict[str, tuple[str, str | None]] = {
     "order_nulls": ("SELECT TOP 30 c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 ORDER BY o_orderkey DESC, c_custkey", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 ORDER BY o_orderkey DESC NULLS FIRST, c_custkey NULLS LAST LIMIT 30"),
     "top_zero": ("SELECT TOP 0 n_name FROM nation", "SELECT n_name FROM nation LIMIT 0"),
     "top_in_subquery": ("SELECT t.k, t.v FROM (SELECT TOP 5 o_orderkey AS k, o_totalprice AS v FROM orders ORDER BY v DESC, k) AS t", "SELECT o_orderkey AS k, o_totalprice AS v FROM orders ORDER BY 2 DESC, 1 LIMIT 5"),
-    "derived_case": ('SELECT T.oK FROM (SELECT o_orderkey AS OK, o_custkey AS "Cust" FROM orders WHERE o_orderkey < 50) AS t WHERE "Cust" > 10', "SELECT o_orderkey AS ok FROM orders WHERE o_orderkey < 50 AND o_custkey > 10"),
+    "derived_case": ('SELECT T.oK FROM (SELECT o_orderkey AS OK, o_custkey AS "Cust" FROM orders) AS t WHERE "Cust" > 10', "SELECT o_orderkey AS ok FROM orders WHERE o_custkey > 10"),
     "math_basic": (
         "SELECT ABS(-p_size) AS a, CEILING(p_retailprice) AS b, FLOOR(p_retailprice) AS c, ROUND(EXP(p_size / 10.0), 6) AS d, ROUND(LOG(p_retailprice), 8) AS e, ROUND(LOG10(p_retailprice), 8) AS f, MOD(p_size, 7) AS g, ROUND(POWER(p_size, 2), 4) AS h, ROUND(SQRT(p_size), 8) AS i, ROUND(p_retailprice) AS j, TRUNCATE(p_retailprice / 3.0, 1) AS k, TRUNCATE(-p_retailprice) AS l, PI() AS m FROM part",
         "SELECT abs(-p_size) AS a, ceil(p_retailprice) AS b, floor(p_retailprice) AS c, round(exp(p_size / 10.0::DOUBLE), 6) AS d, round(ln(p_retailprice), 8) AS e, round(log10(p_retailprice), 8) AS f, p_size % 7 AS g, round(pow(p_size, 2), 4) AS h, round(sqrt(p_size), 8) AS i, round(p_retailprice, 0) AS j, sign(p_retailprice / 3) * floor(abs(p_retailprice / 3.0::DOUBLE) * 10) / 10 AS k, trunc(-p_retailprice) AS l, pi() AS m FROM part",
     ),
+    "truncate": (
+        "SELECT TRUNCATE(1.15, 2) AS a, TRUNCATE(0.29, 2) AS b, TRUNCATE(-1.15, 2) AS c, TRUNCATE(1234.5, -2) AS d, TRUNCATE(1e30, 2) AS e, TRUNCATE(-2.7) AS f FROM \"region\"",
+        "SELECT 1.15::DOUBLE AS a, 0.29::DOUBLE AS b, -1.15::DOUBLE AS c, 1200::DOUBLE AS d, 1e30::DOUBLE AS e, -2::DOUBLE AS f FROM region",
+    ),
     "trig": (
         "SELECT ROUND(ACOS(x), 8) AS a, ROUND(ASIN(x), 8) AS b, ROUND(ATAN(x), 8) AS c, ROUND(ATAN2(x, y), 8) AS d, ROUND(COS(y), 8) AS e, ROUND(COT(y), 6) AS f, ROUND(SIN(y), 8) AS g, ROUND(TAN(x), 8) AS h, ROUND(DEGREES(x), 8) AS i, ROUND(RADIANS(y), 8) AS j FROM (SELECT p_size / 51.0 AS x, p_size + 0.25 AS y FROM part) AS t",
         "SELECT round(acos(x), 8) AS a, round(asin(x), 8) AS b, round(atan(x), 8) AS c, round(atan2(x, y), 8) AS d, round(cos(y), 8) AS e, round(cot(y), 6) AS f, round(sin(y), 8) AS g, round(tan(x), 8) AS h, round(degrees(x), 8) AS i, round(radians(y), 8) AS j FROM (SELECT p_size / 51.0::DOUBLE AS x, p_size + 0.25::DOUBLE AS y FROM part) AS t",
@@ -122,8 +142,8 @@ CASES: dict[str, tuple[str, str | None]] = {
     "distance_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a, sky AS b WHERE a.id < b.id AND DISTANCE(POINT('', a.lon, a.lat), POINT('', b.lon, b.lat)) < 2", f"SELECT a.id AS a, b.id AS b FROM sky a JOIN sky b ON a.id < b.id AND {_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} < 2"),
     "radius_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a JOIN sky AS b ON 1 = CONTAINS(POINT('', a.lon, a.lat), CIRCLE('', b.lon, b.lat, MOD(b.id, 4)))", f"SELECT a.id AS a, b.id AS b FROM sky a JOIN sky b ON {_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= b.id % 4"),
     "udf_pattern": ("SELECT n_name, twice(n_nationkey) AS t, tag(n_name, 'x') AS u FROM nation", "SELECT n_name, n_nationkey * 2 AS t, n_name || '$' || 'x' AS u FROM nation"),
-    "tap_schema_tables": ("SELECT schema_name, table_name, table_type FROM TAP_SCHEMA.tables", None),
-    "tap_schema_columns": ("SELECT table_name, column_name, datatype FROM TAP_SCHEMA.columns WHERE std = 0", None),
+    "tap_schema_tables": ("SELECT schema_name, table_name, table_type FROM TAP_SCHEMA.tables", _LISTED_TABLES),
+    "tap_schema_columns": ("SELECT table_name, column_name, datatype FROM TAP_SCHEMA.columns WHERE std = 0", _LISTED_COLUMNS),
 }
 QUERIES = {name: query for name, (query, _) in CASES.items()}
 FUNCTIONS = [declare("twice(x INTEGER) -> INTEGER", "($1 * 2)"), declare("tag(a VARCHAR, b VARCHAR) -> VARCHAR", "concat($1, '$$', $2)")]
@@ -133,12 +153,13 @@ def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same arithmetic as in SKY, column by column."""
     k = F.col("c_custkey").cast("double")
     one = lambda x: F.lit(float(x))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), ((k * one(137.50776405)) % one(360)).alias("lon"), F.degrees(F.asin(one(2) * ((k * one(0.61803398875)) % one(1)) - one(1))).alias("lat"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), ((k * one(137.50776405)) % one(360)).alias("lon"), F.degrees(F.asin(one(2) * ((k * one(0.7548776662)) % one(1)) - one(1))).alias("lat"))
 
 
 def catalog(spark: SparkSession, sf_dir: str, query: str | None = None) -> Catalog:
-    """All tables, or those alone whose names a query holds: opening a table reads its files' schema."""
-    wanted = lambda name: query is None or "TAP_SCHEMA" in query or name in query
+    """All tables, or those alone that a query reads: opening a table reads its files' schema."""
+    named = {x.name.parts[-1].text.lower() for x in walk(parse(query)) if isinstance(x, Table)} if query and "TAP_SCHEMA" not in query else None
+    wanted = lambda name: named is None or name in named
     out = parquet_catalog(spark, sf_dir, filter(wanted, TABLES))
     if wanted("sky"):
         out.add("sky", sky(spark, sf_dir))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 # Spellings of types in signatures.
-NUMERIC = "smallint int2 integer int int4 bigint long int8 real float float4 double float8 double_precision binary varbinary blob bytea raw".split()
-STRING = "char character string varchar text unicodechar clob timestamp date".split()
+NUMERIC = "smallint int2 integer int int4 bigint long int8 real float float4 double float8 double_precision binary varbinary blob bytea raw bool boolean short smallserial serial2 serial serial4 number bigserial bigserial8 numeric bit byte unsignedbyte bit_varying varbit".split()
+STRING = "char character string varchar text unicodechar clob timestamp date varchar2 character_varying time timetz timestamptz".split()
 GEOMETRIC = "point region circle box polygon position".split()
 _SIGNATURE = re.compile(r"\s*([a-zA-Z]+[a-zA-Z0-9_]*)\s*\(([^)]*)\)\s*(?:->\s*(\S.*?))?\s*\Z")
 
@@ -54,12 +54,12 @@ class Function:
 def declare(signature: str, translation: str | Callable[[list[str]], str] | None = None) -> Function:
     m = _SIGNATURE.match(signature)
     if not m:
-        raise ValueError(f"Wrong function definition syntax! Expected syntax: \"<regular_identifier>(<parameters>?) <return_type>?\". Provided: {signature!r}")
+        raise ValueError(f"{signature!r} declares no function; it should read like: name(p1 type, p2 type) -> type")
     params = []
     for part in filter(None, (p.strip() for p in m[2].split(","))):
         name, _, kind = part.partition(" ")
         if not kind:
-            raise ValueError(f"Wrong parameters syntax! A name and a type are needed in {part!r}")
+            raise ValueError(f"{part!r} declares no parameter; it needs a name and a type")
         params.append((name, kind.strip()))
     if isinstance(translation, str):
         for ref in re.findall(r"\$(\$|\d+)", translation):

@@ -108,7 +108,7 @@ def write_text(result: Result, out: IO[bytes]) -> bool:
         for raw in kept:
             out.write(line(json.loads(raw)))
     if rows.overflow:
-        out.write(b"\nOVERFLOW (more rows were available but have been truncated by the service)\n")
+        out.write(b"\nOVERFLOW: the row limit was reached, rows beyond it are left out\n")
     return rows.overflow
 
 
@@ -119,7 +119,7 @@ def write_html(result: Result, out: IO[bytes]) -> bool:
     for row in rows:
         out.write(("<tr>" + "".join(f"<td>{html.escape(cell(plain(v, t)))}</td>" for v, (_, t) in zip(row, columns)) + "</tr>\n").encode())
     if rows.overflow:
-        out.write(f'<tr class="overflow"><td colspan="{len(columns)}"><em><strong>OVERFLOW</strong> (more rows were available but have been truncated by the service)</em></td></tr>\n'.encode())
+        out.write(f'<tr class="overflow"><td colspan="{len(columns)}"><em><strong>OVERFLOW</strong>: the row limit was reached, rows beyond it are left out</em></td></tr>\n'.encode())
     out.write(b"</tbody>\n</table>\n")
     return rows.overflow
 

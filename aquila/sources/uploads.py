@@ -70,7 +70,7 @@ def load_uploads(spark: SparkSession, uploads: str | dict[str, object] | None, l
         if not REGULAR.match(label):
             raise UploadError(f"{label!r} is no name of a table")
         if label.lower() in seen:
-            raise UploadError(f"Non unique table name (case insensitive) among all uploaded tables: {label!r}")
+            raise UploadError(f"two uploads would be the table {label!r}, whatever the case of their names")
         seen.add(label.lower())
         types: dict[str, str] = {}
         if isinstance(source, DataFrame):
@@ -80,7 +80,7 @@ def load_uploads(spark: SparkSession, uploads: str | dict[str, object] | None, l
             df, types = read_votable(spark, _bounded(data, limits), limits.rows)
         names = [c.lower() for c in df.columns]
         if len(set(names)) < len(names):
-            raise UploadError(f"Non unique column name (case insensitive) among all columns of the table {label!r}")
+            raise UploadError(f"two columns of {label!r} differ in the case of their names alone")
         if limits.rows is not None and isinstance(source, DataFrame) and df.limit(limits.rows + 1).count() > limits.rows:
             raise UploadError(f"Data overflow: {label!r} has more than {limits.rows} rows")
         catalog.add(label, df, SCHEMA, types=types)

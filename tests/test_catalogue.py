@@ -34,6 +34,22 @@ def test_query(spark, duck, name):
         assert got
 
 
+#: Queries whose filters must split the rows of the table that they read.
+SPLITTING = "filter_cmp filter_time not_group in_subquery not_in_subquery exists_correlated not_exists is_null is_not_null geo_cone geo_not_in_cone geo_box geo_intersects geo_circle_in_circle geo_polygon geo_region geo_centroid".split()
+
+
+def test_no_query_is_empty(spark):
+    empty = [name for name in CASES if name != "top_zero" and run(spark, "/root/testdata/sf0.01", QUERIES[name]).isEmpty()]
+    assert empty == []
+
+
+@pytest.mark.parametrize("name", SPLITTING)
+def test_filters_split_their_rows(spark, name):
+    source = "sky" if name.startswith("geo") else "orders" if name.startswith("filter") else "part" if name == "not_group" else "customer"
+    rows = run(spark, FOLDER, f"SELECT COUNT(*) AS n FROM {source}").first()["n"]
+    assert 0 < run(spark, FOLDER, QUERIES[name]).count() != rows
+
+
 def test_scans_are_pruned_and_filtered(spark):
     df = run(spark, FOLDER, "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'F'")
     plan = df._jdf.queryExecution().executedPlan().toString()

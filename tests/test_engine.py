@@ -78,7 +78,7 @@ def test_upload(engine):
         engine.query("SELECT * FROM TAP_UPLOAD.mine")
     with pytest.raises(UploadError, match="file:"):
         engine.query("SELECT * FROM TAP_UPLOAD.mine", uploads="mine,file:///etc/passwd")
-    with pytest.raises(UploadError, match="unique table"):
+    with pytest.raises(UploadError, match="would be the table"):
         engine.query("SELECT * FROM t", uploads={"a": text, "A": text})
     with pytest.raises(VotableError, match="no FIELD"):
         parse_votable(b"<VOTABLE><RESOURCE><TABLE></TABLE></RESOURCE></VOTABLE>")
