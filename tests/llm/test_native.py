@@ -6,8 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 from llmkit import SF, documents
 
+from pyspark.sql import functions as F
+
 from aquila.llm import chat, line_dedup, sharding
 
 WS = " \t\n\x0b\x0c\r"
@@ -80,16 +83,44 @@ def test_linking(spark):
     ]
     results = [(1, "a", 2, "second"), (1, "a", 1, "first"), (None, "a", 8, "for null"), (1, "zzz", 1, "no call"), (1, None, 1, "x")]
     got = {(r["conv_id"], r["call_id"]): r for r in chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv_id bigint, call_id string, turn bigint, content string"), {"find": SCHEMA}).collect()}
-    assert len(got) == 8
+    assert len(got) == 9
+    alone = got[1, "zzz"]
+    assert (alone["kind"], alone["turn"], alone["result_turn"], alone["n_calls"], alone["n_results"], alone["valid"], alone["record"]) == ("result", None, 1, 0, 1, False, '{"call_id":"zzz","result":"no call"}')
     assert [got[1, k]["level"] for k in "abcdefg"] == [0, 2, 1, 0, None, None, None] and got[None, "a"]["level"] == 0
     a = got[1, "a"]
     assert (a["n_calls"], a["n_results"], a["result_turn"], a["valid"]) == (2, 2, 1, True)
     assert a["record"] == '{"arguments":{"n":3,"q":"xy"},"call_id":"a","depends_on":[],"level":0,"name":"find","result":"first"}'
     assert json.loads(got[1, "d"]["record"])["arguments"] == {"text": "{broken"} and not got[1, "d"]["valid"]
-    assert [got[k]["problems"] for k in ((1, "c"), (1, "e"), (1, "f"), (None, "a"))] == [["q: minLength"], ["unknown name"], ["unknown property", "q: type", "q: minLength", "n: type", "how: enum"], ["n: maximum"]]
+    assert [got[k]["problems"] for k in ((1, "c"), (1, "e"), (1, "f"), (None, "a"))] == [["q: minLength"], ["unknown name"], ["unknown property", "q: type", "n: type", "how: enum"], ["n: maximum"]]
     assert got[1, "b"]["valid"] and got[None, "a"]["result_turn"] == 8
     empty = spark.createDataFrame(calls, CALLS).limit(0)
-    assert chat.link_calls(empty, spark.createDataFrame(results, "conv_id bigint, call_id string, turn bigint, content string"), {}).collect() == []
+    answers = spark.createDataFrame(results, "conv_id bigint, call_id string, turn bigint, content string")
+    assert {(r["kind"], r["call_id"]) for r in chat.link_calls(empty, answers, {}).collect()} == {("result", "a"), ("result", "zzz")}
+    assert chat.link_calls(empty, answers.limit(0), {}).collect() == []
+
+
+def test_schema_rules(spark):
+    schema = {"required": ["a"], "properties": {
+        "a": {"type": "integer", "minimum": 2, "enum": [1, 2, 7, True, None, "x", [1, {"k": 2}]]}, "it's": {"type": ["string", "null"], "maxLength": 2},
+        "in": {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"maximum": 5}}}, "list": {"type": "array", "items": {"type": "string", "minLength": 2}},
+    }}
+    cases = {
+        '{"a":2}': [], '{"a":7.0}': [], '{"a":1}': ["a: minimum"], '{"a":2.5}': ["a: type", "a: enum"], '{"a":"2"}': ["a: type", "a: enum"], '{"a":true}': ["a: type"], '{"a":"x"}': ["a: type"], '{"a":null}': ["a: type"], '{"a":[1,{"k":2}]}': ["a: type"],
+        '{"a":2,"it\'s":"abc"}': ["it's: maxLength"], '{"a":2,"it\'s":null}': [], '{"a":2,"it\'s":123}': ["it's: type"], '{"a":2,"in":{}}': ["in.k: missing"], '{"a":2,"in":{"k":6,"z":1}}': ["in: unknown property", "in.k: maximum"], '{"a":2,"in":{"k":"9"}}': [], '{"a":2,"in":[]}': ["in: type"],
+        '{"a":2,"list":["ab","cd"]}': [], '{"a":2,"list":["ab","c"]}': ["list: items"], '{"a":2,"list":["ab",3]}': ["list: items"], "[]": ["not an object"], "nothing": ["not an object"], "{}": ["a: missing"],
+    }
+    got = spark.createDataFrame([(c,) for c in cases], "t string").select("t", chat.violations(F.col("t"), schema).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in got} == cases
+    with pytest.raises(ValueError, match="quotes"):
+        chat.violations(F.col("t"), {"properties": {"a'\"": {}}})
+
+
+def test_chat_keeps_all_turns(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "assistant", "again"), (1, None, "user", "lost"), (None, 5, None, None), (2, 0, "assistant", "opens"), (2, 1, "tool", "t")]
+    conversations = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    linked = chat.link_calls(*chat.turns_as_calls(conversations), {"reply": chat.REPLY})
+    assert sorted((r["kind"], r["call_id"]) for r in linked.collect()) == [("call", "1:1"), ("result", "1:2"), ("result", "2:-1")]
+    assert sorted(r["record"] for r in chat.other_turns(conversations).collect()) == ['{"content":"lost","role":"user","turn":null}', '{"content":"s","role":"system","turn":0}', '{"content":"t","role":"tool","turn":1}', '{"content":null,"role":null,"turn":5}']
 
 
 def test_queries_against_sql(spark):
