@@ -62,11 +62,16 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (m[2] or "/")
 
 
+def utc(time: datetime) -> datetime:
+    """Without a zone it is UTC already."""
+    return time.astimezone(UTC) if time.tzinfo else time.replace(tzinfo=UTC)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, time: datetime) -> bytes:
     """An uncompressed record; a revisit if it refers to a page."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {time:%Y-%m-%dT%H:%M:%SZ}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {utc(time):%Y-%m-%dT%H:%M:%SZ}"]
     if target:
         head.append(f"WARC-Target-URI: {target}")
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")

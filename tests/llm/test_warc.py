@@ -83,3 +83,11 @@ def test_merge_spills(monkeypatch):
     out = [row for b in warc.merge_runs(batches) for row in warc._rows(b)]
     assert [warc.order(x) for x in out] == sorted(map(warc.order, data)) and Counter(out) == Counter(data)
     assert list(warc.merge_runs([])) == []
+
+
+def test_times_are_written_in_utc():
+    from datetime import UTC, datetime, timedelta, timezone
+
+    local = datetime(2023, 11, 14, 17, 13, 20, tzinfo=timezone(timedelta(hours=-5)))
+    for time in (local, local.astimezone(UTC), datetime(2023, 11, 14, 22, 13, 20)):
+        assert b"WARC-Date: 2023-11-14T22:13:20Z" in warc.record(1, "http://a/", b"x", "00" * 20, None, time)
