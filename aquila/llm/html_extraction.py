@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -66,7 +67,9 @@ class Page:
 
 def parse(source: str) -> Page:
     page = Page(["html"], [-1], [""], [0], [])
-    stack = [("html", 0)]  # open elements and the block that each belongs to
+    stack = [("html", 0, 0)]  # open elements, the block that each belongs to, and links open up to it
+    places: dict[str, list[int]] = {}  # of the open elements but the root in the stack, by name
+    blocks = [0]  # places of open blocks
     parts: list[str] = []
     block, in_link, at, size = 0, 0, 0, len(source)
 
@@ -77,6 +80,18 @@ def parse(source: str) -> Page:
                 page.segments.append((block, text))
             parts.clear()
 
+    def push(name: str, own: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
+        stack.append((name, own, stack[-1][2] + (name == "a")))
+
+    def cut_back(place: int) -> None:
+        while len(stack) > place:
+            places[stack.pop()[0]].pop()
+        while blocks[-1] >= place:
+            blocks.pop()
+
     while at < size:
         cut = source.find("<", at)
         if cut < 0:
@@ -99,17 +114,14 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if token[1] or token[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    if name in BLOCK:
-                        flush()
-                    if any(n == "a" for n, _ in stack[i:]):
-                        in_link = 0
-                    del stack[i:]
-                    block = stack[-1][1]
-                    break
-                if stack[i][0] in BLOCK and name not in BLOCK:
-                    break
+            own = places.get(name)
+            if own and (name in BLOCK or own[-1] > blocks[-1]):
+                if name in BLOCK:
+                    flush()
+                if stack[-1][2] > stack[own[-1] - 1][2]:
+                    in_link = 0
+                cut_back(own[-1])
+                block = stack[-1][1]
             continue
         if name in VOID:
             parts.append(" ")
@@ -123,26 +135,24 @@ def parse(source: str) -> Page:
             continue
         if name in BLOCK:
             flush()
-            closes = CLOSED_BY.get(name)
-            for i in range(len(stack) - 1, 0, -1):
-                tag = stack[i][0]
-                if closes and tag in BARRIER[name]:
-                    break
-                if tag in closes if closes else tag == "p":
-                    del stack[i:]
-                elif not closes and tag in BLOCK:
-                    break
-            in_link = sum(n == "a" for n, _ in stack)
+            if closes := CLOSED_BY.get(name):
+                barrier = max((own[-1] for tag in BARRIER[name] if (own := places.get(tag))), default=0)
+                if closed := [own[k] for tag in closes if (own := places.get(tag)) and (k := bisect_right(own, barrier)) < len(own)]:
+                    cut_back(min(closed))
+            else:
+                while stack[blocks[-1]][0] == "p":
+                    cut_back(blocks[-1])
+            in_link = stack[-1][2]
             page.tag.append(name)
             page.parent.append(stack[-1][1])
             page.attrs.append(token[3] or token[6] or "")
             page.links.append(0)
             block = len(page.tag) - 1
-            stack.append((name, block))
+            push(name, block)
         else:
             if name == "a":
                 in_link = 1
-            stack.append((name, block))
+            push(name, block)
     flush()
     return page
 
@@ -197,7 +207,7 @@ def depths(parent: np.ndarray) -> np.ndarray:
 def marginals(unary: np.ndarray, parent: np.ndarray, pair: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a forest: each node's log-probabilities of 0 and 1 (n, 2), and each node's of its parent's and its own state
     (n, 2, 2). unary: n x 2 log-potentials; pair: n x 2 x 2 of the edge to the parent. A level at a time."""
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1 if len(depth) else 0)]
+    levels = np.split(order := np.argsort(depth, kind="stable"), np.flatnonzero(np.diff(depth[order])) + 1) if len(depth) else []
     up = unary.copy()
     message = np.zeros_like(unary)
     for nodes in reversed(levels[1:]):

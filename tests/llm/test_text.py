@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import defaultdict
@@ -438,6 +439,15 @@ def test_main_text(spark):
     assert html_extraction.main_text(df.selectExpr("page_id", "url", "text AS html").limit(0)).collect() == []
 
 
+def test_deep_pages_take_linear_time():
+    """Nested, unclosed and inline elements by tens of thousands."""
+    model = html_extraction.default_model()
+    for source in ("<div>" * 40_000 + "deep", "<b>" * 20_000 + "<div>x</div>" * 20_000, "<div>" * 20_000 + "<li>y" * 20_000, "<div>" * 20_000 + "</section>" * 40_000, "<a href=x>" * 20_000 + "<p>z" * 20_000):
+        begun = time.process_time()
+        page = html_extraction.parse(source)
+        assert len(model.content([page])[0]) == len(page.tag) and time.process_time() - begun < 6
+
+
 def test_messages_are_exact():
     """Marginals of a small tree against all its states."""
     r = np.random.default_rng(3)
