@@ -25,7 +25,7 @@ NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes are merged by a heap, as rounds over them would take quadratic time.
 LONG = 192
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: White space, letters and numbers up to U+00FF, for which re is faster than regex and gives the same pieces.
 LATIN = {r"\s": "\t\n\x0b\x0c\r \x85\xa0", r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe"}
 

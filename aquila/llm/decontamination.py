@@ -27,8 +27,6 @@ EDITS = 0.2
 #: By the least words of an item: the steps whose words make a key, and how many walks there are. By simulation (tests/llm holds
 #: it) 0.99 and more of passages with the full share of edits are met. Items below EXACT words allow no edit and are met whole.
 CLASSES, EXACT = {5: ((0, 2), 8), 8: ((0, 2, 4), 6), 16: ((0, 2, 4, 6, 8), 8)}, 5
-#: Bits of the tables that most windows fall out by.
-TABLE_BITS = 20
 #: Words of benchmark items that a task holds at once; a larger benchmark is searched in blocks.
 BLOCK_WORDS = 1_000_000
 
@@ -76,7 +74,8 @@ class Searcher:
                 key = key * GOLD + self.hashes[word]
                 keys.append(key)
                 if tables:
-                    on = np.flatnonzero(tables[len(keys) - 1][key >> np.uint64(64 - TABLE_BITS)])
+                    table = tables[len(keys) - 1]
+                    on = np.flatnonzero(table[key >> np.uint64(65 - len(table).bit_length())])
                     start, moved, key, word = start[on], moved[on], key[on], word[on]
             if t < steps[-1]:
                 moved = moved + (coins[word] >> t & 1)
@@ -91,9 +90,10 @@ class Searcher:
             rows.append((np.full(use.sum(), k), start[use], [c[use] for c in keys]))
         item, start = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
         keys = [np.concatenate([r[2][j] for r in rows]) for j in range(len(steps))]
-        tables = [np.zeros(1 << TABLE_BITS, bool) for _ in steps]
+        bits = max(12, (16 * len(item)).bit_length())  # most windows fall out by tables of that size
+        tables = [np.zeros(1 << bits, bool) for _ in steps]
         for table, c in zip(tables, keys):
-            table[c >> np.uint64(64 - TABLE_BITS)] = True
+            table[c >> np.uint64(64 - bits)] = True
         order = np.argsort(keys[-1], kind="stable")
         return width, steps, coins, tables, keys[-1][order], np.stack([item[order], start[order]], axis=1)
 

@@ -212,7 +212,8 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
 
     nodes: node, rep (a document with that set)."""
     prefixes = written(emit_prefixes(docs, n, num, den, sketch), "prefixes")
-    shared = prefixes.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("token")
+    # rows suffice here: a set that several tasks have met is told apart when the lists are pruned
+    shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
     # One shared entry can be enough, whatever l a node has chosen; the sizes and l in its lists tell.
     entries = _counted(prefixes.join(shared, "token"), "entries")
     drop(prefixes)

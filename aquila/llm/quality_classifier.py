@@ -31,7 +31,7 @@ HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 40, 128, 5e-3, 11
 #: Groups of rows that the sums of all tasks are added in.
 BLOCKS = 256
 #: Words that a worker remembers, of at most so many bytes.
-REMEMBERED, LONG_WORD = 100_000, 100
+REMEMBERED, LONG_WORD = 50_000, 100
 #: Bytes of text handled at once; a longer text is handled in pieces.
 PIECE = 1 << 17
 _SHAPE = bytes(ord("A") if 65 <= c <= 90 else ord("0") if 48 <= c <= 57 else ord("a") if 97 <= c <= 122 or c >= 128 else c for c in range(256))
