@@ -1,43 +1,95 @@
-"""Cells of the sphere for joins of points with circles around points.
+"""Keys that make joins by distance or by an interval equi-joins, which spread over the cluster.
 
-The sphere is cut into zones of latitude, and each zone into cells at least as wide as high. A point lies in one cell; a
-circle is given one row for each cell that it may reach. Equal cells make an equi-join, which spreads over the cluster; the
-exact condition decides on each pair, and no pair comes twice."""
+Cells: the sphere is cut into zones of latitude, and each zone into cells at least as wide as high. A point lies in one cell;
+a circle is given one row for each cell that it may reach. Where radii vary, each circle belongs to a class by its radius, with
+cells about as high as its circles, and a point has a cell in each of the few classes. Bins: numbers are cut into bins as wide
+as the interval. The exact condition decides on each pair, and no pair comes twice."""
 
 from __future__ import annotations
 
-#: Least and usual height of a zone in degrees; circles of varying radius use the usual height.
+#: Least and usual height of a zone in degrees; the usual one serves varying radii where points can't have a row per class.
 LEAST_HEIGHT, USUAL_HEIGHT = 0.01, 1.0
+#: Classes of radius; each is FACTOR times as high as the one before, the last reaches around the sphere.
+CLASSES, FACTOR = 8, 4.0
+#: Parts of the numbers that name a cell: of its zone and of its class.
+ZONE, CLASS = "10000000L", "1000000000000L"
 
 
-def height(radius: str) -> float:
+def height(radius: str) -> str | None:
+    """For a radius that is a number, else None."""
     try:
-        return max(LEAST_HEIGHT, float(radius.strip("()").removesuffix("D")))
+        return f"{max(LEAST_HEIGHT, float(radius.strip('()').removesuffix('D')))!r}D"
     except ValueError:
-        return USUAL_HEIGHT
+        return None
 
 
-def _zone(lat: str, h: float) -> str:
-    return f"CAST(floor(({lat} + 90D) / {h!r}D) AS BIGINT)"
+USUAL = f"{USUAL_HEIGHT!r}D"
 
 
-def _cells_in(zone: str, h: float) -> str:
-    top = f"greatest(abs({zone} * {h!r}D - 90D), abs(({zone} + 1) * {h!r}D - 90D))"
-    return f"greatest(1L, CAST(floor(360D * cos(radians(least(89.99D, {top}))) / {h!r}D) AS BIGINT))"
+def class_of(radius: str) -> str:
+    """A null radius has no class."""
+    steps = f"ceil(ln(greatest({LEAST_HEIGHT!r}D, {radius}) / {LEAST_HEIGHT!r}D) / ln({FACTOR!r}D))"
+    return f"CASE WHEN {radius} IS NOT NULL THEN least({CLASSES - 1}L, {steps}) END"
 
 
-def cell_of_point(lon: str, lat: str, h: float) -> str:
+def height_of(class_: str) -> str:
+    return f"({LEAST_HEIGHT!r}D * pow({FACTOR!r}D, {class_}))"
+
+
+def _zone(lat: str, h: str) -> str:
+    return f"floor(({lat} + 90D) / {h})"
+
+
+def _cells_in(zone: str, h: str) -> str:
+    top = f"greatest(abs({zone} * {h} - 90D), abs(({zone} + 1) * {h} - 90D))"
+    return f"greatest(1L, floor(360D * cos(radians(least(89.99D, {top}))) / {h}))"
+
+
+def cell_of_point(lon: str, lat: str, h: str) -> str:
     zone = _zone(lat, h)
     n = _cells_in(zone, h)
-    return f"({zone} * 10000000L + least({n} - 1, CAST(floor(pmod({lon}, 360D) / 360D * {n}) AS BIGINT)))"
+    return f"({zone} * {ZONE} + least({n} - 1, floor(pmod({lon}, 360D) / 360D * {n})))"
 
 
-def cells_of_circle(lon: str, lat: str, radius: str, h: float) -> str:
+def cells_of_circle(lon: str, lat: str, radius: str, h: str) -> str:
     """An array without repeats. The radius is widened a little against rounding."""
     r = f"({radius} + 1e-9D)"
     wide = f"CASE WHEN abs({lat}) + {r} >= 90D THEN 180D ELSE degrees(asin(least(1D, sin(radians({r})) / cos(radians({lat}))))) + 1e-9D END"
     n = _cells_in("z", h)
-    low, high = (f"CAST(floor((pmod({lon}, 360D) {sign} ({wide})) / 360D * {n}) AS BIGINT)" for sign in "-+")
+    low, high = (f"floor((pmod({lon}, 360D) {sign} ({wide})) / 360D * {n})" for sign in "-+")
     span = f"CASE WHEN {high} - {low} + 1 >= {n} THEN sequence(0L, {n} - 1) ELSE sequence({low}, {high}) END"
     zones = f"sequence({_zone(f'greatest(-90D, {lat} - {r})', h)}, {_zone(f'least(90D, {lat} + {r})', h)})"
-    return f"array_distinct(flatten(transform({zones}, z -> transform({span}, k -> z * 10000000L + pmod(k, {n})))))"
+    return f"array_distinct(flatten(transform({zones}, z -> transform({span}, k -> z * {ZONE} + pmod(k, {n})))))"
+
+
+def classed_cell(lon: str, lat: str, radius: str) -> str:
+    """The cell of a circle's centre among those of its class."""
+    c = class_of(radius)
+    return f"({c}) * {CLASS} + {cell_of_point(lon, lat, height_of(c))}"
+
+
+def classed_cells(lon: str, lat: str, radius: str) -> str:
+    """The cells of a circle in its class: a dozen at most, but near the poles."""
+    c = class_of(radius)
+    return f"transform({cells_of_circle(lon, lat, radius, height_of(c))}, x -> ({c}) * {CLASS} + x)"
+
+
+def cells_by_class(lon: str, lat: str) -> str:
+    """A point's cell in each class."""
+    return f"transform(sequence(0L, {CLASSES - 1}L), c -> c * {CLASS} + {cell_of_point(lon, lat, height_of('c'))})"
+
+
+def reach_by_class(lon: str, lat: str) -> str:
+    """The cells of each class that the centre of a circle around a point can lie in."""
+    radius = f"CASE WHEN c = {CLASSES - 1} THEN 180D ELSE {height_of('c')} END"
+    return f"flatten(transform(sequence(0L, {CLASSES - 1}L), c -> transform({cells_of_circle(lon, lat, radius, height_of('c'))}, x -> c * {CLASS} + x)))"
+
+
+def bin_of(x: str, width: float) -> str:
+    return f"floor(CAST({x} AS DOUBLE) / {width!r}D)"
+
+
+def bins_between(low: str, high: str, width: float) -> str:
+    """An array, for an interval no wider than ``width``; null bounds have none. Casts, division and floor keep the order of
+    numbers, so rounding loses nothing."""
+    return f"sequence({bin_of(low, width)}, greatest({bin_of(low, width)}, {bin_of(high, width)}))"

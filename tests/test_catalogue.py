@@ -54,3 +54,14 @@ def test_scans_are_pruned_and_filtered(spark):
     df = run(spark, FOLDER, "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'F'")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice)" in plan and "o_orderpriority" not in plan
+
+
+KEYED = "cone_join distance_join radius_join cone_left_join radius_left_join radius_right_join three_sky_join point_column_join interval_join interval_left_join theta_join".split()
+
+
+@pytest.mark.parametrize("name", KEYED)
+def test_joins_have_keys(spark, name):
+    plan = run(spark, FOLDER, QUERIES[name])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan
+    physical = run(spark, FOLDER, QUERIES[name])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in physical and "Cartesian" not in physical
