@@ -143,7 +143,7 @@ CASES: dict[str, tuple[str, str | None]] = {
     "radius_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a JOIN sky AS b ON 1 = CONTAINS(POINT('', a.lon, a.lat), CIRCLE('', b.lon, b.lat, MOD(b.id, 4)))", f"SELECT a.id AS a, b.id AS b FROM sky a JOIN sky b ON {_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= b.id % 4"),
     "cone_left_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a LEFT JOIN sky AS b ON a.id <> b.id AND CONTAINS(POINT('', b.lon, b.lat), CIRCLE('', a.lon, a.lat, 3)) = 1", f"SELECT a.id AS a, b.id AS b FROM sky a LEFT JOIN sky b ON a.id <> b.id AND {_distance('b.lon', 'b.lat', 'a.lon', 'a.lat')} <= 3"),
     "radius_left_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a LEFT JOIN sky AS b ON a.id < b.id AND DISTANCE(POINT('', b.lon, b.lat), POINT('', a.lon, a.lat)) < MOD(a.id, 6)", f"SELECT a.id AS a, b.id AS b FROM sky a LEFT JOIN sky b ON a.id < b.id AND {_distance('b.lon', 'b.lat', 'a.lon', 'a.lat')} < a.id % 6"),
-    "radius_right_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a RIGHT JOIN sky AS b ON a.id < b.id AND CONTAINS(POINT('', b.lon, b.lat), CIRCLE('', a.lon, a.lat, MOD(a.id, 3) + 0.5)) = 1", f"SELECT a.id AS a, b.id AS b FROM sky a RIGHT JOIN sky b ON a.id < b.id AND {_distance('b.lon', 'b.lat', 'a.lon', 'a.lat')} <= a.id % 3 + 0.5"),
+    "radius_right_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a RIGHT JOIN sky AS b ON a.id < b.id AND CONTAINS(POINT('', b.lon, b.lat), CIRCLE('', a.lon, a.lat, MOD(a.id, 3) + 2.5)) = 1", f"SELECT a.id AS a, b.id AS b FROM sky a RIGHT JOIN sky b ON a.id < b.id AND {_distance('b.lon', 'b.lat', 'a.lon', 'a.lat')} <= a.id % 3 + 2.5"),
     "three_sky_join": ("SELECT n.n_name, a.id AS a, b.id AS b FROM customer AS c, sky AS a, nation AS n, sky AS b WHERE c.c_custkey = a.id AND c.c_nationkey = n.n_nationkey AND a.id < b.id AND DISTANCE(POINT('', a.lon, a.lat), POINT('', b.lon, b.lat)) < 3", f"SELECT n_name, a.id AS a, b.id AS b FROM customer c JOIN sky a ON c.c_custkey = a.id JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN sky b ON a.id < b.id AND {_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} < 3"),
     "point_column_join": ("SELECT a.id AS a, b.id AS b FROM (SELECT id, POINT('', lon, lat) AS p FROM sky) AS a JOIN (SELECT id, POINT('', lon, lat) AS p FROM sky) AS b ON a.id < b.id AND DISTANCE(a.p, b.p) <= 2", f"SELECT a.id AS a, b.id AS b FROM sky a JOIN sky b ON a.id < b.id AND {_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 2"),
     "interval_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a JOIN sky AS b ON a.id <> b.id AND a.lat BETWEEN b.lat - 0.05 AND b.lat + 0.05", "SELECT a.id AS a, b.id AS b FROM sky a JOIN sky b ON a.id <> b.id AND a.lat BETWEEN b.lat - 0.05::DOUBLE AND b.lat + 0.05::DOUBLE"),

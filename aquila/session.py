@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
-from typing import IO
+from typing import IO, TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +13,12 @@ from aquila.plans.compiler import Compiled, Compiler, Settings
 from aquila.plans.lexer import ParseError
 from aquila.plans.parser import parse
 from aquila.plans.quickfix import quick_fix
-from aquila.sources.catalog import Catalog, Table
+from aquila.sources.catalog import Catalog, Coosys, Table
 from aquila.sources.uploads import Limits, load_uploads
 
+if TYPE_CHECKING:
+    from aquila.sources.formats import Writer
+
 
 @dataclass
 class Config:
@@ -31,6 +34,8 @@ class Config:
     default_duration: int | None = None
     max_duration: int | None = None
     workers: int = 4
+    provider: tuple[str, str] | None = None  # a name and a description, for VOTables
+    formats: dict[str, Writer] = field(default_factory=dict)  # own ones, as {"psv": separated("|")}
 
     def maxrec(self, asked: int | None) -> int | None:
         """Negative is unlimited, which is the most allowed."""
@@ -56,12 +61,15 @@ class Result:
     query: str
     fixed: str | None
     maxrec: int | None
+    provider: tuple[str, str] | None = None
+    systems: list[Coosys] = field(default_factory=list)
+    formats: dict[str, Writer] = field(default_factory=dict)
 
     def write(self, out: IO[bytes], format_: str = "votable") -> bool:
         """Writes the rows and tells whether there were more."""
         from aquila.sources.formats import find_format
 
-        return find_format(format_)(self, out)
+        return find_format(format_, self.formats)(self, out)
 
     def rows(self) -> tuple[list[tuple], bool]:
         rows = [tuple(r) for r in self.df.toLocalIterator()]
@@ -99,7 +107,7 @@ class Engine:
         df = self.spark.sql(compiled.sql)
         for t in loaded:  # the plan is bound; the names go
             self.spark.catalog.dropTempView(t.view)
-        return Result(df if limit is None else df.limit(limit + 1), compiled, query, fixed, limit)
+        return Result(df if limit is None else df.limit(limit + 1), compiled, query, fixed, limit, self.config.provider, self.catalog.coosys, self.config.formats)
 
     def with_config(self, **changes) -> Engine:
         return Engine(self.spark, self.catalog, replace(self.config, **changes))

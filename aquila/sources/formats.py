@@ -73,13 +73,17 @@ def separated(separator: str) -> Writer:
 def write_json(result: Result, out: IO[bytes]) -> bool:
     columns = columns_of(result)
     meta = []
-    for n, t in columns:
+    for (n, t), o in zip(columns, result.compiled.outputs):
         kind = {"SMALLINT": "short", "INTEGER": "int", "BIGINT": "long", "REAL": "float", "DOUBLE": "double"}.get(t)
-        one: dict[str, Any] = {"name": n, "datatype": kind or "char"}
+        one: dict[str, Any] = {"name": n}
+        if o.source and o.source.description:
+            one["description"] = o.source.description
+        one["datatype"] = kind or "char"
         if not kind:
             one["arraysize"] = "*"
             if t in ("TIMESTAMP", "POINT", "REGION"):
                 one["xtype"] = f"adql:{t}"
+        one |= {k: v for k in ("unit", "ucd", "utype") if (v := getattr(o.source, k, None))}
         meta.append(one)
     out.write(b'{"metadata":' + json.dumps(meta, ensure_ascii=False).encode() + b',"data":[')
     rows = _rows(result)
@@ -125,14 +129,24 @@ def write_html(result: Result, out: IO[bytes]) -> bool:
 
 
 def votable(form: str = "BINARY") -> Writer:
-    """form: TABLEDATA, BINARY or BINARY2."""
+    """form: TABLEDATA, BINARY, BINARY2 or FITS."""
 
     def write(result: Result, out: IO[bytes]) -> bool:
         columns = columns_of(result)
-        infos = [("QUERY_STATUS", "OK", ""), ("QUERY", result.query, "")]
+        infos = [("QUERY_STATUS", "OK", ""), *([("PROVIDER", *result.provider)] if result.provider else []), ("QUERY", result.query, "")]
         if result.fixed:
             infos.append(("QUERY_AFTER_AUTO_FIX", result.fixed, ""))
-        write_header(out, infos, [(n, t, {}) for n, t in columns])
+        write_header(out, infos, [(n, t, o.source) for (n, t), o in zip(columns, result.compiled.outputs)], result.systems)
+        if form == "FITS":
+            with tempfile.SpooledTemporaryFile(max_size=1_000_000) as kept:
+                over = write_fits(result, kept)
+                kept.seek(0)
+                out.write(b'<DATA><FITS><STREAM encoding="base64">\n')
+                for raw in iter(lambda: kept.read(5700), b""):
+                    out.write(base64.b64encode(raw) + b"\n")
+                out.write(b"</STREAM></FITS></DATA>\n")
+            _close(out, over)
+            return over
         rows = _rows(result)
         if form == "TABLEDATA":
             out.write(b"<DATA><TABLEDATA>\n")
@@ -144,15 +158,19 @@ def votable(form: str = "BINARY") -> Writer:
             for raw in _whole_lines(_binary(rows, columns, form == "BINARY2")):
                 out.write(base64.b64encode(raw) + b"\n")
             out.write(f"</STREAM></{form}></DATA>\n".encode())
-        out.write(b"</TABLE>\n")
-        if rows.overflow:
-            out.write(b'<INFO name="QUERY_STATUS" value="OVERFLOW"/>\n')
-        out.write(b"</RESOURCE>\n</VOTABLE>\n")
+        _close(out, rows.overflow)
         return rows.overflow
 
     return write
 
 
+def _close(out: IO[bytes], overflow: bool) -> None:
+    out.write(b"</TABLE>\n")
+    if overflow:
+        out.write(b'<INFO name="QUERY_STATUS" value="OVERFLOW"/>\n')
+    out.write(b"</RESOURCE>\n</VOTABLE>\n")
+
+
 def _binary(rows: Limited, columns: list[tuple[str, str]], null_flags: bool) -> Iterator[bytes]:
     for row in rows:
         values = [plain(v, t) for v, (_, t) in zip(row, columns)]
@@ -220,13 +238,14 @@ def write_fits(result: Result, out: IO[bytes]) -> bool:
 
 _CSV, _TSV = separated(","), separated("\t")
 FORMATS: dict[str, Writer] = {
-    "votable": votable(), "application/x-votable+xml": votable(), "text/xml": votable(), "votable/b": votable(), "votable/b2": votable("BINARY2"), "votable/td": votable("TABLEDATA"),
+    "votable": votable(), "application/x-votable+xml": votable(), "text/xml": votable(), "votable/b": votable(), "votable/b2": votable("BINARY2"), "votable/td": votable("TABLEDATA"), "votable/fits": votable("FITS"), "application/x-votable+xml;serialization=fits": votable("FITS"),
     "application/x-votable+xml;serialization=binary": votable(), "application/x-votable+xml;serialization=binary2": votable("BINARY2"), "application/x-votable+xml;serialization=tabledata": votable("TABLEDATA"),
     "fits": write_fits, "application/fits": write_fits, "csv": _CSV, "text/csv": _CSV, "tsv": _TSV, "text/tab-separated-values": _TSV, "json": write_json, "application/json": write_json,
     "text": write_text, "text/plain": write_text, "html": write_html, "text/html": write_html,
 }
 
 
-def find_format(name: str | None) -> Writer:
-    """By short name or MIME type, whatever its case; VOTable if there is none of that name."""
-    return FORMATS.get("".join((name or "").lower().split()), FORMATS["votable"])
+def find_format(name: str | None, own: dict[str, Writer] | None = None) -> Writer:
+    """By short name or MIME type, whatever its case, the service's own formats first; VOTable if there is none of that name."""
+    known = FORMATS | {k.lower(): v for k, v in (own or {}).items()}
+    return known.get("".join((name or "").lower().split()), FORMATS["votable"])

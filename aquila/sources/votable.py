@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import io
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 from typing import IO, Any
 from xml.etree import ElementTree
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from aquila.functions.stcs import parse_region
-from aquila.sources.catalog import SPARK_TYPES
+from aquila.sources.catalog import SPARK_TYPES, Column, Coosys
 
 # Types of the format, and of the language.
 NUMBERS = {"short": ("SMALLINT", ">h"), "int": ("INTEGER", ">i"), "long": ("BIGINT", ">q"), "float": ("REAL", ">f"), "double": ("DOUBLE", ">d"), "unsignedByte": ("SMALLINT", ">B")}
@@ -201,15 +201,22 @@ def binary_cell(value: Any, type_: str) -> bytes:
     return struct.pack(">i", len(raw)) + raw
 
 
-def write_header(out: IO[bytes], infos: list[tuple[str, str, str]], columns: list[tuple[str, str, dict[str, str | None]]]) -> None:
+def write_header(out: IO[bytes], infos: list[tuple[str, str, str]], columns: list[tuple[str, str, Column | None]], systems: Iterable[Coosys] = ()) -> None:
+    """Of the coordinate systems those that columns refer to."""
     write = lambda s: out.write((s + "\n").encode())
     write('<?xml version="1.0" encoding="UTF-8"?>')
     write('<VOTABLE version="1.3" xmlns="http://www.ivoa.net/xml/VOTable/v1.3">')
     write('<RESOURCE type="results">')
     for name, value, text in infos:
         write(f"<INFO name={quoteattr(name)} value={quoteattr(value)}{f'>{escape(text)}</INFO>' if text else '/>'}")
+    used = {c.coosys for _, _, c in columns if c}
+    systems = [s for s in systems if s.id in used]
+    for s in systems:
+        write(f"<COOSYS ID={quoteattr(s.id)}" + "".join(f" {k}={quoteattr(v)}" for k in ("system", "equinox", "epoch") if (v := getattr(s, k))) + "/>")
     write("<TABLE>")
     for name, type_, more in columns:
-        extra = "".join(f" {k}={quoteattr(v)}" for k in ("unit", "ucd", "utype") if (v := more.get(k)))
-        text = more.get("description")
+        extra = "".join(f" {k}={quoteattr(v)}" for k in ("unit", "ucd", "utype") if (v := getattr(more, k, None)))
+        if more and any(s.id == more.coosys for s in systems):
+            extra += f" ref={quoteattr(more.coosys)}"
+        text = more.description if more else None
         write(f"<FIELD name={quoteattr(name)} {field_attributes(type_)}{extra}{f'><DESCRIPTION>{escape(text)}</DESCRIPTION></FIELD>' if text else '/>'}")

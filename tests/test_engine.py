@@ -1,3 +1,4 @@
+import base64
 import io
 import json
 import threading
@@ -6,9 +7,11 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
+from aquila.__main__ import main
 from aquila.plans.lexer import ParseError
 from aquila.session import Config, Engine
-from aquila.sources.catalog import Catalog
+from aquila.sources.catalog import Catalog, Coosys, ForeignKey, jdbc_catalog, read_tap_schema
+from aquila.sources.formats import separated
 from aquila.sources.tableset import read_tableset, write_tableset
 from aquila.sources.uploads import UploadError
 from aquila.sources.votable import VotableError, parse_votable
@@ -157,3 +160,81 @@ def test_abort_and_duration(engine):
     jobs.close()
     now = datetime(2024, 1, 1, tzinfo=UTC)
     assert destruction_time(None, timedelta(2), timedelta(1), now) == now + timedelta(1) and destruction_time(None, None, None, now) is None
+
+
+@pytest.fixture
+def described(spark):
+    catalog = Catalog(schemas={"sea": {"description": "Buoys & ships", "utype": None}}, coosys=[Coosys("sys1", "ICRS", None, "2015.5"), Coosys("sys2", "FK5", "J2000", None)])
+    buoy = catalog.add("buoy", spark.createDataFrame([(1, 2.5), (2, None)], "id int, lon double"), "sea", description="Floats")
+    buoy.columns[1].description, buoy.columns[1].unit, buoy.columns[1].ucd, buoy.columns[1].utype, buoy.columns[1].coosys = "Longitude < 360", "deg", "pos.eq.ra", "x:lon", "sys1"
+    catalog.keys.append(ForeignKey("k1", "sea.buoy", "sea.buoy", [("id", "id")], "itself"))
+    return Engine(spark, catalog, Config(provider=("harbour", "Of a small harbour"), formats={"psv": separated("|")}))
+
+
+def test_results_tell_of_their_columns(described):
+    query = "SELECT l AS a, l + 1 AS b FROM (SELECT lon AS l FROM sea.buoy) AS t ORDER BY a"
+    meta = json.loads(written(described, "json", query)[0])["metadata"]
+    assert meta[0] == {"name": "a", "description": "Longitude < 360", "datatype": "double", "unit": "deg", "ucd": "pos.eq.ra", "utype": "x:lon"}
+    assert meta[1] == {"name": "b", "datatype": "double"}
+    text = written(described, "votable/td", query)[0].decode()
+    assert '<COOSYS ID="sys1" system="ICRS" epoch="2015.5"/>' in text and "sys2" not in text
+    assert '<FIELD name="a" datatype="double" unit="deg" ucd="pos.eq.ra" utype="x:lon" ref="sys1"><DESCRIPTION>Longitude &lt; 360</DESCRIPTION></FIELD>' in text
+    assert '<FIELD name="b" datatype="double"/>' in text and '<INFO name="PROVIDER" value="harbour">Of a small harbour</INFO>' in text
+
+
+def test_own_separator_and_fits_in_votable(described):
+    assert written(described, "PSV", "SELECT id, lon FROM buoy ORDER BY id", maxrec=1) == (b"id|lon\n1|2.5\n", True)
+    text, over = written(described, "votable/fits", "SELECT id, lon FROM buoy ORDER BY id", maxrec=1)
+    inside = text.partition(b'<STREAM encoding="base64">')[2].partition(b"</STREAM>")[0]
+    raw = base64.b64decode(inside)
+    assert over and raw.startswith(b"SIMPLE  =") and len(raw) % 2880 == 0 and b'value="OVERFLOW"' in text
+
+
+def test_catalog_from_its_own_description(spark, described):
+    described.catalog.describe(spark)
+    frames = {t.name: t.df for t in described.catalog.tables if t.schema == "TAP_SCHEMA"}
+    assert {"coosys", "keys"} <= set(frames)
+    rows = next(t.df for t in described.catalog.tables if t.name == "buoy")
+    got = read_tap_schema(frames.get, lambda table: rows.withColumnRenamed("lon", "LON"))
+    assert [(t.full_name, t.description) for t in got.tables] == [("sea.buoy", "Floats")] and got.coosys == described.catalog.coosys
+    assert [(c.name, c.type, c.unit, c.ucd) for c in got.tables[0].columns] == [("id", "INTEGER", None, None), ("lon", "DOUBLE", "deg", "pos.eq.ra")]
+    assert got.keys == described.catalog.keys and got.schemas["sea"]["description"] == "Buoys & ships"
+    assert Engine(spark, got).query("SELECT lon FROM sea.buoy WHERE id = 1").rows()[0] == [(2.5,)]
+    assert read_tap_schema(lambda name: None).tables == []
+    with pytest.raises(ValueError, match="lacks the columns lon"):
+        read_tap_schema(frames.get, lambda table: rows.drop("lon"))
+
+
+def test_jdbc_options(monkeypatch, spark):
+    asked = []
+
+    class Reader:
+        def format(self, name):
+            assert name == "jdbc"
+            return self
+
+        def options(self, **options):
+            asked.append(options)
+            return self
+
+        def load(self):
+            return spark.range(3)
+
+    monkeypatch.setattr(type(spark), "read", property(lambda self: Reader()))
+    got = jdbc_catalog(spark, "jdbc:x", ["public.a", "b"], fetch_size=500, ranges={"b": ("id", 0, 90, 4)}, user="me")
+    assert [t.name for t in got.tables] == ["a", "b"] and asked[0] == {"url": "jdbc:x", "dbtable": "public.a", "fetchsize": "500", "user": "me"}
+    assert asked[2] == {"partitionColumn": "id", "lowerBound": "0", "upperBound": "90", "numPartitions": "4"}
+
+
+def test_command_line(tmp_path, capsys, described):
+    query, tables = tmp_path / "q", tmp_path / "t.xml"
+    query.write_text("SELECT id  FROM sea.buoy WHERE lon>1;")
+    tables.write_text(write_tableset(described.catalog))
+    assert main([str(query)]) == 0 and capsys.readouterr().out == ""
+    assert main(["-s", "-t", str(tables), str(query)]) == 0 and "sea.buoy AS s1" in capsys.readouterr().out
+    assert main(["-a", str(query)]) == 0 and capsys.readouterr().out.startswith("SELECT")
+    assert main(["-a", "-s", str(query)]) == 1 and main(["-s", str(query)]) == 1 and main([str(tmp_path / "none")]) == 2
+    query.write_text("SELECT mast FROM sea.buoy")
+    assert main(["-t", str(tables), str(query)]) == 3
+    query.write_text("SELECT FROM")
+    assert main([str(query)]) == 3
