@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import re
 import tempfile
 import zlib
@@ -33,6 +34,8 @@ LEAST_REVISITED = 1000
 SEGMENT_BYTES = 8_000_000
 #: Rows of a range that are held in memory before runs are spilled, and rows read at once from a spilled run.
 HELD_ROWS, READ_ROWS = 100_000, 2_000
+#: Files of one level that are merged at once.
+FAN_IN = 32
 #: Compressed bytes that are given to the decompressor at once.
 READ_BYTES = 16_384
 #: The time of capture of a page without one: its id in seconds after this.
@@ -166,46 +169,58 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def take_runs(rows: Iterable[tuple], runs: list[list[tuple]]) -> None:
+    """Appends rows to sorted runs: a row goes on with the last run if it isn't before its end, else it begins another. What a
+    task of the sorted captures sent comes in order, so its runs are found again as they were."""
+    last = order(runs[-1][-1]) if runs else None
+    for row in rows:
+        key = order(row)
+        if last is None or key < last:
+            runs.append([])
+        runs[-1].append(row)
+        last = key
+
+
 def merge_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch becomes a sorted run; runs beyond HELD_ROWS are spilled; all are merged."""
+    """Merges the sorted runs that come in; those beyond HELD_ROWS are merged into a file. FAN_IN files of one level are merged
+    into one of the next, so no merge reads more than FAN_IN files of a level."""
     with tempfile.TemporaryDirectory() as folder:
-        held, runs, n, schema = [], [], 0, None
+        held, levels, n, files, schema = [], [[]], 0, 0, None
 
         def spilled(path: Path) -> Iterator[tuple]:
             with pa.OSFile(str(path)) as file, pa.ipc.open_stream(file) as reader:
                 for part in reader:
                     yield from _rows(part)
 
-        def spill() -> None:
-            path = Path(folder, f"{len(runs)}.arrow")
-            merged = LoserTree([iter(h) for h in held], order)
+        def parts(runs: list[Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
+            merged = iter(LoserTree(runs, order))
+            while rows := list(itertools.islice(merged, READ_ROWS)):
+                yield _batch(rows, schema)
+
+        def spill(runs: list[Iterator[tuple]], level: int) -> None:
+            nonlocal files
+            path, files = Path(folder, f"{files}.arrow"), files + 1
             with pa.OSFile(str(path), "w") as file, pa.ipc.new_stream(file, schema) as writer:
-                part: list[tuple] = []
-                for row in merged:
-                    part.append(row)
-                    if len(part) == READ_ROWS:
-                        writer.write_batch(_batch(part, schema))
-                        part = []
-                if part:
-                    writer.write_batch(_batch(part, schema))
-            runs.append(path)
-            held.clear()
+                for part in parts(runs):
+                    writer.write_batch(part)
+            if level == len(levels):
+                levels.append([])
+            levels[level].append(path)
+            if len(full := levels[level]) == FAN_IN:
+                spill([spilled(p) for p in full], level + 1)
+                for old in full:
+                    old.unlink()
+                full.clear()
 
         for batch in batches:
             schema = schema or pa.schema([(f.name, f.type) for f in batch.schema])
-            held.append(sorted(_rows(batch), key=order))
+            take_runs(_rows(batch), held)
             n += batch.num_rows
             if n > HELD_ROWS:
-                spill()
+                spill([iter(h) for h in held], 0)
+                held.clear()
                 n = 0
-        out: list[tuple] = []
-        for row in LoserTree([*(spilled(p) for p in runs), *(iter(h) for h in held)], order):
-            out.append(row)
-            if len(out) == READ_ROWS:
-                yield _batch(out, schema)
-                out = []
-        if out:
-            yield _batch(out, schema)
+        yield from parts([*(spilled(p) for level in levels for p in level), *(iter(h) for h in held)])
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, least: int = LEAST_REVISITED) -> DataFrame:

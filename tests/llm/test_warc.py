@@ -73,8 +73,34 @@ def test_loser_tree():
         assert list(warc.LoserTree([iter(x) for x in runs], lambda x: x)) == sorted(sum(runs, []))
 
 
-def test_merge_spills(monkeypatch):
+def test_runs_are_found_again():
+    row = lambda k: (k, "t", 1, 1, "d", "response", None, "s", 0, 1)
+    runs = []
+    for batch in (["b", "d"], ["d", "e", "a"], ["a", "c"], ["b"]):
+        warc.take_runs(map(row, batch), runs)
+    assert [[r[0] for r in run] for run in runs] == [["b", "d", "d", "e"], ["a", "a", "c"], ["b"]]
+
+
+def test_captures_reach_the_merge_as_runs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 4000)
+    pages = spark.createDataFrame([(i, f"http://h{i * 7919 % 1000}.net/", f"page {i}", 0) for i in range(300)], PAGES).repartition(2)
+    captures = warc.written(warc.read_archives(warc.write_archives(pages)), "captures")
+    segments = captures.select("segment").distinct().count()
+
+    def run(batches):
+        runs, rows = [], 0
+        for b in batches:
+            warc.take_runs(warc._rows(b), runs)
+        yield pa.record_batch([pa.array([len(runs)], pa.int64()), pa.array([sum(map(len, runs))], pa.int64())], ["runs", "rows"])
+
+    dealt = captures.repartitionByRange(2, "url_key", "capture_time", "page_id", "segment", "offset").mapInArrow(run, "runs bigint, rows bigint").collect()
+    assert segments > 5 and sum(r["rows"] for r in dealt) == 300 and all(r["runs"] <= segments for r in dealt)
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 100])
+def test_merge_spills(monkeypatch, fan_in):
     monkeypatch.setattr(warc, "HELD_ROWS", 30)
+    monkeypatch.setattr(warc, "FAN_IN", fan_in)
     monkeypatch.setattr(warc, "READ_ROWS", 7)
     r = random.Random(2)
     data = [(f"k{r.randrange(5)}", f"t{r.randrange(5)}", r.choice([None, *range(9)]), 1, "d", "response", None, "s", r.randrange(999), 1) for _ in range(200)]
