@@ -372,5 +372,19 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash").unionByName(docs.where("doc_id is null"))
 
 
+#: Distinct sets meet by their shingles, and links are followed to the least document; for small tables.
+SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN coalesce(len(ws), 0) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_sort(list_distinct([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)])) END AS v FROM d),
+n AS (SELECT v, row_number() OVER () AS node, min(doc_id) AS least FROM s WHERE len(v) > 0 GROUP BY v),
+x AS (SELECT node, len(v) AS size, unnest(v) AS shingle FROM n),
+p AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.node <> b.node AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size)
+      GROUP BY a.node, b.node, a.size, b.size HAVING 100 * count(*) >= 90 * (a.size + b.size - count(*))),
+c AS (SELECT node, least FROM n UNION SELECT p.b, c.least FROM c JOIN p ON c.node = p.a),
+m AS (SELECT node, min(least) AS component_id FROM c GROUP BY node)
+SELECT s.doc_id, len(s.v) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id FROM s LEFT JOIN n ON n.v = s.v LEFT JOIN m ON m.node = n.node
+"""
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(load(spark, sf_dir, "documents"), n=3, num=90, den=100)

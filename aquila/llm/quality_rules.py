@@ -113,5 +113,33 @@ def rule_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_chunks(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "text", schema, lambda: step)
 
 
+def _sql() -> str:
+    """The same in DuckDB's SQL."""
+    white, lengths = "\\x20\\x09-\\x0D", list(MOST_REPEATED)
+    grams = ", ".join(" || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))]) + f" AS g{n}" for n in lengths)
+    again = ", ".join(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{n}) > 1 AS a{n}" for n in lengths)
+    inside = ", ".join(f"max(a{n}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS a{n}" for n in lengths)
+    sums = ", ".join(f"sum(c) FILTER (a{n}) AS chars_{n}" for n in lengths)
+    measured = ", ".join(f"coalesce({k}, 0)::BIGINT AS {k}" for k in ("word_chars", "n_dup_lines", "n_repeat_words", *(f"chars_{n}" for n in lengths), "dup_line_chars"))
+    good = " AND ".join([f"dup_line_chars <= {MOST_IN_LINES}::DOUBLE * word_chars", *(f"chars_{n} <= {most}::DOUBLE * word_chars" for n, most in MOST_REPEATED.items())])
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^{white}]+') AS ws FROM d),
+t AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT r, i, length(w) AS c, {grams} FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+a AS (SELECT r, i, c, {again} FROM g),
+b AS (SELECT r, i, c, {inside} FROM a),
+s AS (SELECT r, sum(c) AS word_chars, count(*) FILTER (a{lengths[0]}) AS n_repeat_words, {sums} FROM b GROUP BY r),
+l AS (SELECT r, line, count(*) - 1 AS more FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^{white}]') GROUP BY r, line),
+e AS (SELECT r, sum(more) AS n_dup_lines, sum(more * length(regexp_replace(line, '[{white}]', '', 'g'))) AS dup_line_chars FROM l GROUP BY r),
+x AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, {measured} FROM d JOIN w USING (r) LEFT JOIN s USING (r) LEFT JOIN e USING (r)),
+y AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+SELECT *, NOT base_failed AND {good} AS kept FROM y
+"""
+
+
+SQL = _sql()
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality(load(spark, sf_dir, "documents"))

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op4_chat_formatting": chat.SQL, "op5_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op5_warc": warc.SQL, "op10_jaccard_join": jaccard_join.SQL}
