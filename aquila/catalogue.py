@@ -137,6 +137,10 @@ CASES: dict[str, tuple[str, str | None]] = {
     "geo_circle_in_circle": ("SELECT id FROM sky WHERE CONTAINS(CIRCLE('', lon, lat, 4), CIRCLE('', 40, 10, 25)) = 1", f"SELECT id FROM sky WHERE {_distance('lon', 'lat', '40', '10')} + 4 <= 25"),
     "geo_polygon": ("SELECT id FROM sky WHERE CONTAINS(POINT('', lon, lat), POLYGON('', 0, 0, 90, 0, 0, 90)) = 1", "SELECT id FROM sky WHERE lon BETWEEN 0 AND 90 AND lat >= 0"),
     "geo_region": ("SELECT id FROM sky WHERE CONTAINS(POINT('', lon, lat), REGION('UNION ICRS (CIRCLE 10 10 20 NOT (CIRCLE 100 0 60))')) = 1", f"SELECT id FROM sky WHERE {_distance('lon', 'lat', '10', '10')} <= 20 OR NOT {_distance('lon', 'lat', '100', '0')} <= 60"),
+    "geo_region_column": (
+        "SELECT id, ROUND(AREA(g), 6) AS a, ROUND(COORD2(CENTROID(g)), 6) AS b FROM (SELECT id, CIRCLE('', lon, lat, 3) AS g FROM sky) AS t WHERE INTERSECTS(g, CIRCLE('', 40, 10, 15)) = 1",
+        f"SELECT id, round(2 * pi() * (1 - cos(radians(3))) * pow(180 / pi(), 2), 6) AS a, round(lat, 6) AS b FROM sky WHERE {_distance('lon', 'lat', '40', '10')} <= 18",
+    ),
     "geo_stcs": ("SELECT TOP 1 POINT('ICRS', 1, 2) AS p, CIRCLE('', 1, 2, 3) AS c FROM sky", "SELECT 'Position ICRS 1.0 2.0' AS p, 'Circle 1.0 2.0 3.0' AS c"),
     "cone_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a JOIN sky AS b ON CONTAINS(POINT('', a.lon, a.lat), CIRCLE('', b.lon, b.lat, 5)) = 1", f"SELECT a.id AS a, b.id AS b FROM sky a JOIN sky b ON {_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 5"),
     "distance_join": ("SELECT a.id AS a, b.id AS b FROM sky AS a, sky AS b WHERE a.id < b.id AND DISTANCE(POINT('', a.lon, a.lat), POINT('', b.lon, b.lat)) < 2", f"SELECT a.id AS a, b.id AS b FROM sky a JOIN sky b ON a.id < b.id AND {_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} < 2"),

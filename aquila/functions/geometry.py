@@ -21,10 +21,16 @@ def _number(sql: str) -> float | None:
         return None
 
 
+Edge = Callable[[tuple[str, str], tuple[str, str]], str]
+#: All pairs of kinds would make an expression too large for Catalyst.
+_TWO_COLUMNS = "whether a region of a column meets or holds that of another column is not supported"
+
+
 @dataclass(frozen=True)
 class Shape:
-    """kind: point, circle, box, polygon, union, intersection, not, or stored: a column with a region's text. parts: SQL of
-    its numbers, or of its text. system: SQL of its coordinate system's text."""
+    """kind: point, circle, box, polygon, union, intersection, not, stored (a column with a region's text) or ring (a polygon
+    of such a column). parts: SQL of its numbers, or of its text; of a ring the SQL of an array of its numbers, and the name of
+    the variable that goes over its edges. system: SQL of its coordinate system's text."""
 
     kind: str
     parts: tuple[str, ...] = ()
@@ -33,8 +39,10 @@ class Shape:
 
     @property
     def centre(self) -> tuple[str, str]:
-        if self.kind == "polygon":
-            x, y, z = ([f"({' + '.join(v[i] for v in map(unit, *zip(*self.corners)))})" for i in range(3)])
+        if self.kind == "stored":
+            return by_stored_kind(self, "i", lambda s: s.centre[0]), by_stored_kind(self, "i", lambda s: s.centre[1])
+        if self.kind in ("polygon", "ring"):
+            x, y, z = (_total(self, lambda a, _, i=i: unit(*a)[i]) for i in range(3))
             return f"pmod(degrees(atan2({y}, {x})), 360D)", f"degrees(atan2({z}, sqrt({x}*{x} + {y}*{y})))"
         return self.parts[0], self.parts[1]
 
@@ -78,6 +86,34 @@ def _edges(s: Shape) -> list[tuple[tuple[str, str], tuple[str, str]]]:
     return list(zip(c, c[1:] + c[:1]))
 
 
+def _ring_edge(s: Shape) -> tuple[str, tuple[str, str], tuple[str, str]]:
+    """The numbers of a ring's edges, and the corners of the one that its variable names."""
+    numbers, v = s.parts
+    n = f"CAST(size({numbers}) / 2 AS INT)"
+    corner = lambda i: (f"element_at({numbers}, 2 * {i} + 1)", f"element_at({numbers}, 2 * {i} + 2)")
+    return f"sequence(0, {n} - 1)", corner(v), corner(f"(({v} + 1) % {n})")
+
+
+def _each(s: Shape, holds: Edge, word: str = "forall") -> str:
+    """SQL boolean: the condition holds for all edges (forall) or for one (exists)."""
+    if s.kind == "ring":
+        all_, a, b = _ring_edge(s)
+        return f"{word}({all_}, {s.parts[1]} -> {holds(a, b)})"
+    return (_all if word == "forall" else _any)([holds(a, b) for a, b in _edges(s)])
+
+
+def _total(s: Shape, value: Edge) -> str:
+    if s.kind == "ring":
+        all_, a, b = _ring_edge(s)
+        return f"aggregate({all_}, 0D, (sum, {s.parts[1]}) -> sum + {value(a, b)})"
+    return "(" + " + ".join(value(a, b) for a, b in _edges(s)) + ")"
+
+
+def _first(s: Shape) -> Shape:
+    """A corner."""
+    return Shape("point", tuple(f"element_at({s.parts[0]}, {i})" for i in (1, 2)) if s.kind == "ring" else s.corners[0])
+
+
 def _arc_distance(p: tuple[str, str], a: tuple[str, str], b: tuple[str, str]) -> str:
     """From a point to the great-circle arc a b."""
     u, v, w = unit(*p), unit(*a), unit(*b)
@@ -90,13 +126,13 @@ def _arc_distance(p: tuple[str, str], a: tuple[str, str], b: tuple[str, str]) ->
 def _point_in_polygon(p: tuple[str, str], s: Shape) -> str:
     """The edges' angles seen from the point sum to a full turn inside; points on an edge belong to the polygon."""
     u = unit(*p)
-    angles = []
-    for a, b in _edges(s):
+
+    def angle(a: tuple[str, str], b: tuple[str, str]) -> str:
         v, w = unit(*a), unit(*b)
-        angles.append(f"atan2({_dot(u, _cross(v, w))}, {_dot(v, w)} - {_dot(v, u)} * {_dot(w, u)})")
-    near = f"{_dot(u, unit(*s.centre))} > 0"
-    edge = " OR ".join(f"{_arc_distance(p, a, b)} <= 1e-11D" for a, b in _edges(s))
-    return f"({near} AND (abs({' + '.join(angles)}) > pi() OR {edge}))"
+        return f"atan2({_dot(u, _cross(v, w))}, {_dot(v, w)} - {_dot(v, u)} * {_dot(w, u)})"
+
+    near = f"{_total(s, lambda a, _: _dot(u, unit(*a)))} > 0"
+    return f"({near} AND (abs({_total(s, angle)}) > pi() OR {_each(s, lambda a, b: f'{_arc_distance(p, a, b)} <= 1e-11D', 'exists')}))"
 
 
 def stored(text: str) -> Shape:
@@ -105,28 +141,18 @@ def stored(text: str) -> Shape:
     return Shape("stored", (text,), system=f"array_join(filter(split(upper(trim({text})), ' +'), w -> w IN ({words})), ' ')")
 
 
-def _by_stored_kind(s: Shape, what: Callable[[str, Callable[[str], str]], dict[str, str]]) -> str:
-    """A CASE over the kind of a stored region; compound ones are errors when they are met."""
-    text = s.parts[0]
-    numbers = f"transform(filter(split(trim({text}), ' +'), w -> w RLIKE '^[-+.0-9]'), w -> CAST(w AS DOUBLE))"
-    cases = what(numbers, lambda i: f"element_at({numbers}, CAST({i} AS INT))")
-    whens = " ".join(f"WHEN '{k}' THEN {sql}" for k, sql in cases.items())
-    return f"(CASE element_at(split(upper(trim({text})), ' +'), 1) {whens} ELSE CASE WHEN {text} IS NOT NULL THEN raise_error(concat('not supported in a column: ', {text})) END END)"
-
-
-def _point_in_stored(p: tuple[str, str], s: Shape) -> str:
-    def cases(numbers: str, at: Callable[[str], str]) -> dict[str, str]:
-        n = f"CAST(size({numbers}) / 2 AS INT)"
-        a, b = (at("2 * i + 1"), at("2 * i + 2")), (at(f"2 * ((i + 1) % {n}) + 1"), at(f"2 * ((i + 1) % {n}) + 2"))
-        u, v, w = unit(*p), unit(*a), unit(*b)
-        angle = f"atan2({_dot(u, _cross(v, w))}, {_dot(v, w)} - {_dot(v, u)} * {_dot(w, u)})"
-        total = lambda sql: f"aggregate(sequence(0, {n} - 1), 0D, (sum, i) -> sum + {sql})"
-        edge = f"exists(sequence(0, {n} - 1), i -> {_arc_distance(p, a, b)} <= 1e-11D)"
-        one = [at(str(i)) for i in range(1, 5)]
-        plain = {k: contains(Shape("point", p), Shape(k, tuple(one[:m]))) for k, m in (("point", 2), ("circle", 3), ("box", 4))}
-        return {"POSITION": plain["point"], "CIRCLE": plain["circle"], "BOX": plain["box"], "POLYGON": f"({total(_dot(u, v))} > 0 AND (abs({total(angle)}) > pi() OR {edge}))"}
-
-    return _by_stored_kind(s, cases)
+def by_stored_kind(s: Shape, variable: str, what: Callable[[Shape], str]) -> str:
+    """What holds for the shape that a column's text tells; compound ones are errors when they are met. The text is taken apart
+    once a row. variable: for the edges of its polygon, another one for each column that an expression reads."""
+    text, n = s.parts[0], f"n{variable}"
+    kind = f"element_at(split(upper(trim({text})), ' +'), 1)"
+    words = f"CASE WHEN {kind} IN ('POSITION', 'CIRCLE', 'BOX', 'POLYGON') THEN split(trim({text}), ' +') END"
+    numbers = f"transform(filter({words}, w -> w RLIKE '^[-+.0-9]'), w -> CAST(w AS DOUBLE))"
+    at = [f"element_at({n}, {i})" for i in range(1, 5)]
+    shapes = {"POSITION": Shape("point", tuple(at[:2])), "CIRCLE": Shape("circle", tuple(at[:3])), "BOX": Shape("box", tuple(at)), "POLYGON": Shape("ring", (n, variable))}
+    whens = " ".join(f"WHEN '{k}' THEN {what(shape)}" for k, shape in shapes.items())
+    case = f"CASE {kind} {whens} ELSE CASE WHEN {text} IS NOT NULL THEN raise_error(concat('not supported in a column: ', {text})) END END"
+    return f"element_at(transform(array({numbers}), {n} -> {case}), 1)"
 
 
 def _any(items: list[str]) -> str:
@@ -146,13 +172,14 @@ def _to_box(p: tuple[str, str], s: Shape) -> str:
     return f"(CASE WHEN {apart} = 0D THEN abs({p[1]} - least({high}, greatest({low}, {p[1]}))) ELSE {distance((apart, p[1]), ('0D', foot))} END)"
 
 
-def _edges_cross(a: Shape, b: Shape) -> list[str]:
-    out = []
-    for p, q in _edges(a):
-        for r, s in _edges(b):
-            n, m = _cross(unit(*p), unit(*q)), _cross(unit(*r), unit(*s))
-            out.append(f"({_dot(n, unit(*r))} * {_dot(n, unit(*s))} <= 0 AND {_dot(m, unit(*p))} * {_dot(m, unit(*q))} <= 0 AND {_dot(unit(*p), unit(*r))} > 0)")
-    return out
+def _edges_cross(a: Shape, b: Shape, most: str = "<= 0") -> str:
+    """An edge of the one crosses or touches one of the other; with a smaller ``most`` only if they cross."""
+
+    def crosses(p: tuple[str, str], q: tuple[str, str], r: tuple[str, str], s: tuple[str, str]) -> str:
+        n, m = _cross(unit(*p), unit(*q)), _cross(unit(*r), unit(*s))
+        return f"({_dot(n, unit(*r))} * {_dot(n, unit(*s))} {most} AND {_dot(m, unit(*p))} * {_dot(m, unit(*q))} {most} AND {_dot(unit(*p), unit(*r))} > 0)"
+
+    return _each(a, lambda p, q: _each(b, lambda r, s: crosses(p, q, r, s), "exists"), "exists")
 
 
 def contains(inner: Shape, outer: Shape) -> str:
@@ -165,11 +192,15 @@ def contains(inner: Shape, outer: Shape) -> str:
         return _any([contains(inner, s) for s in outer.inner])
     if inner.kind == "union":
         return _all([contains(s, outer) for s in inner.inner])
-    if outer.kind == "stored" and inner.kind == "point":
-        return _point_in_stored(inner.centre, outer)
-    if inner.kind in ("intersection", "not", "stored") or outer.kind == "stored":
+    if inner.kind == outer.kind == "stored":
+        raise ValueError(_TWO_COLUMNS)
+    if inner.kind == "stored":
+        return by_stored_kind(inner, "i", lambda s: contains(s, outer))
+    if outer.kind == "stored":
+        return by_stored_kind(outer, "j", lambda s: contains(inner, s))
+    if inner.kind in ("intersection", "not"):
         raise ValueError(f"whether a region of kind {inner.kind} lies in another is not supported")
-    c = inner.centre if inner.kind != "polygon" else inner.corners[0]
+    c = inner.centre if inner.kind in ("point", "circle") else ("", "")
     match inner.kind, outer.kind:
         case "point", "point":
             return f"({distance(c, outer.centre)} = 0D)"
@@ -178,7 +209,7 @@ def contains(inner: Shape, outer: Shape) -> str:
         case "point", "box":
             lon, lat, w, h = outer.parts
             return f"({c[1]} BETWEEN {lat} - {h} / 2D AND {lat} + {h} / 2D AND {_lon_apart(c[0], lon)} <= {w} / 2D)"
-        case "point", "polygon":
+        case "point", "polygon" | "ring":
             return _point_in_polygon(c, outer)
         case _, "point":
             return "false"
@@ -188,20 +219,22 @@ def contains(inner: Shape, outer: Shape) -> str:
             lon, lat, w, h = outer.parts
             r = inner.parts[2]
             return f"({c[1]} - {r} >= {lat} - {h} / 2D AND {c[1]} + {r} <= {lat} + {h} / 2D AND {_lon_apart(c[0], lon)} + degrees(asin(least(1D, sin(radians({r})) / greatest(1e-12D, cos(radians({c[1]})))))) <= {w} / 2D)"
-        case "circle", "polygon":
-            return _all([_point_in_polygon(c, outer), *(f"{_arc_distance(c, a, b)} >= {inner.parts[2]}" for a, b in _edges(outer))])
+        case "circle", "polygon" | "ring":
+            return _all([_point_in_polygon(c, outer), _each(outer, lambda a, b: f"{_arc_distance(c, a, b)} >= {inner.parts[2]}")])
         case "box", "box":
             return f"({_lon_apart(inner.parts[0], outer.parts[0])} + {inner.parts[2]} / 2D <= {outer.parts[2]} / 2D AND abs({inner.parts[1]} - {outer.parts[1]}) + {inner.parts[3]} / 2D <= {outer.parts[3]} / 2D)"
-    inside = [contains(Shape("point", p), outer) for p in inner.corners]
-    return _all(inside + ([] if outer.kind in ("circle", "box") else [f"NOT {x}" for x in _strict_crossings(inner, outer)]))
-
-
-def _strict_crossings(a: Shape, b: Shape) -> list[str]:
-    return [x.replace("<= 0", "< -1e-24D") for x in _edges_cross(a, b)]
+    inside = _each(inner, lambda a, _: contains(Shape("point", a), outer))
+    return inside if outer.kind in ("circle", "box") else _all([inside, f"NOT {_edges_cross(inner, outer, '< -1e-24D')}"])
 
 
 def intersects(a: Shape, b: Shape) -> str:
     """SQL boolean: the shapes share a point."""
+    if a.kind == b.kind == "stored":
+        raise ValueError(_TWO_COLUMNS)
+    if a.kind == "stored":
+        return by_stored_kind(a, "i", lambda s: intersects(s, b))
+    if b.kind == "stored":
+        return by_stored_kind(b, "j", lambda s: intersects(a, s))
     for one, other in ((a, b), (b, a)):
         if other.kind == "union":
             return _any([intersects(one, s) for s in other.inner])
@@ -209,7 +242,7 @@ def intersects(a: Shape, b: Shape) -> str:
             return contains(other, one)
         if other.kind == "not":
             return f"(NOT {contains(one, other.inner[0])})"
-        if other.kind in ("intersection", "stored") and one.kind != "point":
+        if other.kind == "intersection" and one.kind != "point":
             raise ValueError(f"whether an extended shape meets a region of kind {other.kind} is not supported")
     for one, other in ((a, b), (b, a)):
         c, r = one.centre if one.kind == "circle" else ("", ""), one.parts[-1]
@@ -218,11 +251,11 @@ def intersects(a: Shape, b: Shape) -> str:
                 return f"({distance(c, other.centre)} <= {r} + {other.parts[2]})"
             case "circle", "box":
                 return f"({_to_box(c, other)} <= {r})"
-            case "circle", "polygon":
-                return _any([_point_in_polygon(c, other), *(f"{_arc_distance(c, p, q)} <= {r}" for p, q in _edges(other))])
+            case "circle", "polygon" | "ring":
+                return _any([_point_in_polygon(c, other), _each(other, lambda p, q: f"{_arc_distance(c, p, q)} <= {r}", "exists")])
             case "box", "box":
                 return f"({_lon_apart(one.parts[0], other.parts[0])} <= ({one.parts[2]} + {other.parts[2]}) / 2D AND abs({one.parts[1]} - {other.parts[1]}) <= ({one.parts[3]} + {other.parts[3]}) / 2D)"
-    return _any([contains(Shape("point", a.corners[0]), b), contains(Shape("point", b.corners[0]), a), *_edges_cross(a, b)])
+    return _any([contains(_first(a), b), contains(_first(b), a), _edges_cross(a, b)])
 
 
 def _near(p: tuple[str, str], circle: Shape) -> str:
@@ -238,7 +271,7 @@ def area(s: Shape) -> str:
     square = repr((180 / math.pi) ** 2) + "D"
     match s.kind:
         case "stored":
-            return _by_stored_kind(s, lambda _, at: {"POSITION": "0D", "CIRCLE": area(Shape("circle", (at("1"), at("2"), at("3")))), "BOX": area(Shape("box", (at("1"), at("2"), at("3"), at("4"))))})
+            return by_stored_kind(s, "i", area)
         case "point":
             return "0D"
         case "circle":
@@ -246,12 +279,13 @@ def area(s: Shape) -> str:
         case "box":
             _, lat, w, h = s.parts
             return f"(radians({w}) * (sin(radians(least(90D, {lat} + {h} / 2D))) - sin(radians(greatest(-90D, {lat} - {h} / 2D)))) * {square})"
-        case "polygon":
-            terms = []
-            for (l1, b1), (l2, b2) in _edges(s):
-                step, t1, t2 = f"tan(radians(pmod({l2} - {l1} + 180D, 360D) - 180D) / 2D)", f"tan(radians({b1}) / 2D)", f"tan(radians({b2}) / 2D)"
-                terms.append(f"2D * atan2({step} * ({t1} + {t2}), 1D + {t1} * {t2})")
-            return f"(abs({' + '.join(terms)}) * {square})"
+        case "polygon" | "ring":
+
+            def term(a: tuple[str, str], b: tuple[str, str]) -> str:
+                step, t1, t2 = f"tan(radians(pmod({b[0]} - {a[0]} + 180D, 360D) - 180D) / 2D)", f"tan(radians({a[1]}) / 2D)", f"tan(radians({b[1]}) / 2D)"
+                return f"2D * atan2({step} * ({t1} + {t2}), 1D + {t1} * {t2})"
+
+            return f"(abs({_total(s, term)}) * {square})"
     raise ValueError(f"the area of a region of kind {s.kind} is not supported")
 
 

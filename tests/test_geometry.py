@@ -2,8 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from aquila.functions.geometry import Shape, area, contains, from_region, intersects
+from aquila.functions.geometry import Shape, area, contains, from_region, intersects, stored
 from aquila.functions.stcs import parse_region, parse_system, system_pattern
 
 
@@ -106,3 +107,32 @@ def test_stored_regions(spark):
     catalog.add("bad", spark.createDataFrame([("NOT (Circle 1 2 3)",)], "s string"), types={"s": "REGION"})
     with pytest.raises(Exception, match="not supported in a column"):
         engine.sql("SELECT CONTAINS(POINT('', 1, 2), s) AS x FROM bad").collect()
+
+
+def test_columns_of_regions_by_kind(spark):
+    """What a column of regions holds is computed with as shapes of numbers are."""
+    r = random.Random(9)
+    sizes = {"point": 2, "circle": 3, "box": 4, "polygon": 8}
+
+    def shape(kind):
+        lon, lat, w = r.uniform(-3, 6), r.uniform(-3, 6), r.uniform(0.5, 4)
+        return {"point": [lon, lat], "circle": [lon, lat, w], "box": [lon, lat, w, w + 1], "polygon": [lon, lat, lon + w, lat, lon + w, lat + w, lon, lat + w + 1]}[kind]
+
+    rows = [(k, x, f"{'Position' if k == 'point' else k} ICRS {' '.join(map(repr, x))}") for k in sizes for x in (shape(k) for _ in range(15))]
+    df = spark.createDataFrame([*rows, ("none", None, None)], "kind string, x array<double>, a string").coalesce(1)
+    for y in (S("circle", 1, 2, 3), S("box", 1, 2, 5, 4), S("polygon", -1, -1, 5, 0, 4, 6)):
+        questions = lambda s, y=y: [contains(s, y), contains(y, s), intersects(s, y)]
+        got = {(row[0], tuple(row[1] or ())): list(row)[2:] for row in df.select("kind", "x", *(F.expr(q) for q in questions(stored("a")))).collect()}
+        assert got.pop(("none", ())) == [None] * 3
+        want = {}
+        for kind, n in sizes.items():
+            flat = Shape(kind, tuple(f"element_at(x, {i + 1})" for i in range(n)))
+            want |= {(row[0], tuple(row[1])): list(row)[2:] for row in df.where(F.col("kind") == kind).select("kind", "x", *(F.expr(q) for q in questions(flat))).collect()}
+        assert got == want and {x[2] for x in want.values()} == {True, False}
+    for kind, n in sizes.items():
+        flat, one = Shape(kind, tuple(f"element_at(x, {i + 1})" for i in range(n))), stored("a")
+        for row in df.where(F.col("kind") == kind).selectExpr(*(f"{e} AS c{i}" for i, e in enumerate((area(one), area(flat), one.centre[0], flat.centre[0], one.centre[1], flat.centre[1])))).collect():
+            assert all(row[i] == pytest.approx(row[i + 1], rel=1e-12) for i in (0, 2, 4))
+    for two in (contains, intersects):
+        with pytest.raises(ValueError, match="another column"):
+            two(stored("a"), stored("b"))
