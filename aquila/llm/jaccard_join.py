@@ -246,16 +246,16 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, sketch:
     here, fits, direct = written(here, "first-entries"), _fits_prefixes(num, den), None
     for depth in range(DEPTH):
         lists = here.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), "node")).alias("p"))
-        here = written(here.join(written(lists.where("x != y").select("key", "held", F.col("p.node").alias("p")), "lists"), "key"), "listed")
+        here = written(here.join(written(lists.where("x != y").select("key", "held", "p"), "lists"), "key"), "listed")
         last, most = depth == DEPTH - 1, SHORT_GAPS if depth else SHORT
         short = here if last else here.where(F.col("held") <= most)
         pairs = short.alias("a").join(short.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & fits)
         pairs = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
         direct = pairs if direct is None else direct.unionByName(pairs)
-        members = here.where(F.col("held") > most).select("node", "label", "size", "p").distinct()
-        if last or members.isEmpty():
+        long = here.where(F.col("held") > most)
+        if last or long.isEmpty():
             break
-        gaps = written(_differences(members, sets, num, den), "differences")
+        gaps = written(_differences(_members(long), sets, num, den), "differences")
         found = written(found.unionByName(gaps.where("linked and node != p").select(F.col("node").alias("a"), F.col("p").alias("b"))), "links")
         here, fits = written(_gap_entries(gaps, num, den), "gap-entries"), _fits_gaps(num, den)
     found = written(found.unionByName(compared(direct.distinct())), "links")
@@ -305,6 +305,16 @@ def _fits_prefixes(num: int, den: int) -> Column:
     return place & (F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num)
 
 
+def _members(long: DataFrame) -> DataFrame:
+    """node, label, size and p: the nodes of long lists with the pivots of these. A pivot that is in a list of a better one gives
+    way to it in all its lists, so the many lists of a group have few pivots, and a node few differences."""
+    best = long.groupBy("node").agg(F.min("p").alias("best"))
+    pivots = long.select(F.col("p.node").alias("node")).distinct().join(best, "node")
+    pivots = written(pivots.select(F.col("node").alias("p"), F.col("best.node").alias("better")), "pivots")
+    members = long.select("node", "label", "size", F.col("p.node").alias("p")).distinct().join(pivots, "p")
+    return members.select("node", "label", "size", F.col("better").alias("p")).distinct()
+
+
 def _differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """To each (node, label, size, p) the pivot's size, whether it is linked with the pivot, and gap: the shingles that one
     of the two has alone."""
@@ -328,15 +338,22 @@ def _gap_entries(gaps: DataFrame, num: int, den: int) -> DataFrame:
     lists = cells.groupBy("p", "token").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y"), *least).where("x != y and least_open is not null")
     own = Window.partitionBy("p", "node")
     cells = cells.join(written(lists.drop("x", "y"), "gap-lists"), ["p", "token"])
-    other = F.when(F.col("linked"), F.col("least_open")).otherwise(F.col("least"))  # a partner's gap, at least
-    asked = F.greatest(F.lit(1), F.ceil(_shared_gap(F.col("gap") + other, F.col("size") + F.col("most"), num, den)))
+    sizes = F.col("size") + F.least("most", F.floor(F.col("size") * F.lit(den) / F.lit(num)))  # with a partner's, at most
+    # a partner's gap, at least: it differs from this one in as many shingles as the two nodes do
+    other = F.greatest(F.when(F.col("linked"), F.col("least_open")).otherwise(F.col("least")), F.col("gap") - _apart(sizes, num, den))
+    asked = F.greatest(F.lit(1), F.ceil(_shared_gap(F.col("gap") + other, sizes, num, den)))
     cells = cells.withColumns({"d": F.count(F.lit(1)).over(own), "asked": F.min(asked).over(own), "nth": F.row_number().over(own.orderBy("held", "token"))})
     return cells.where("nth <= d - asked + 1").select(F.xxhash64("p", "token").alias("key"), "node", "label", "size", "linked", "gap", "d", "nth", (F.col("gap") - F.col("d")).alias("alone"))
 
 
+def _apart(sizes: Column, num: int, den: int) -> Column:
+    """The shingles that one of two linked nodes has alone, at most. sizes: the sum of both."""
+    return sizes * F.lit((den - num) / (den + num))
+
+
 def _shared_gap(gaps: Column, sizes: Column, num: int, den: int) -> Column:
     """What the gaps of two linked nodes share, at least; a little less, for rounding."""
-    return (gaps - sizes * F.lit((den - num) / (den + num))) / 2 - 1e-6
+    return (gaps - _apart(sizes, num, den)) / 2 - 1e-6
 
 
 def _fits_gaps(num: int, den: int) -> Column:

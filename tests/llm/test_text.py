@@ -385,6 +385,33 @@ def test_jaccard_group_of_2000_near_copies(spark, monkeypatch):
         assert len(ha & hb) >= min(pa - sa, pb - sb) - (-90 * (sa + sb) // 190)
 
 
+def test_jaccard_group_of_far_copies(spark, monkeypatch):
+    """Texts of shared blocks, most too far from each other to be linked: a text is set against few pivots, though it is in many
+    long lists, and the components are those of brute force."""
+    r = random.Random(5)
+    blocks = [[" ".join(f"b{k}v{v}w{i}" for i in range(r.randint(15, 25))) for v in range(3)] for k in range(12)]
+    picks = [[r.randrange(3) for _ in blocks] for _ in range(40)]
+    while len(picks) < 400:
+        pick = list(r.choice(picks))
+        for _ in range(r.choice([1, 2, 2, 3, 4])):
+            pick[r.randrange(12)] = r.choice([0, 0, 1, 2, None])
+        picks.append(pick)
+    texts = [" ".join(b[v] for b, v in zip(blocks, pick) if v is not None) for pick in picks]
+    read = []
+
+    def spy(df, name, keep=jaccard_join.written):
+        out = keep(df, name)
+        if name == "differences":
+            read.append([x["node"] for x in out.select("node").collect()])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    rows = list(enumerate(texts))
+    got = sorted((tuple(x) for x in jaccard_join.jaccard_groups(documents(spark, rows), n=5, num=80).collect()), key=str)
+    assert got == brute_groups(rows, 5, 80, 100) and 50 < len({c for _, _, c in got}) < 350
+    assert len(set(read[0])) > 100 and all(len(x) <= 5 * len(set(x)) for x in read)
+
+
 def test_jaccard_null_ids_bridge(spark):
     """A text that only rows without a doc_id hold links two others."""
     words = [f"w{i}" for i in range(100)]
