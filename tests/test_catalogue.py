@@ -1,5 +1,6 @@
 """Every query of the catalogue against its SQL in DuckDB."""
 
+import re
 from collections import Counter
 
 import duckdb
@@ -65,3 +66,11 @@ def test_joins_have_keys(spark, name):
     assert "Generate explode" in plan
     physical = run(spark, FOLDER, QUERIES[name])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in physical and "Cartesian" not in physical
+
+
+@pytest.mark.parametrize("name", KEYED)
+def test_keyed_joins_are_not_broadcast(spark, name):
+    """A small file can hold many rows with several keys each: such a side filled the driver, and few tasks did the join."""
+    physical = run(spark, FOLDER, QUERIES[name])._jdf.queryExecution().executedPlan().toString()
+    keyed = [x for x in physical.splitlines() if "Join" in x and re.search(r"\bkey#", x)]
+    assert keyed and all("SortMergeJoin" in x for x in keyed)
