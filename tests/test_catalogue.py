@@ -6,7 +6,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from aquila.catalogue import CASES, QUERIES, TABLES, oracle, run
+from aquila.catalogue import CASES, QUERIES, TABLES, catalog, oracle, run
+from aquila.session import Engine
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -74,3 +75,31 @@ def test_keyed_joins_are_not_broadcast(spark, name):
     physical = run(spark, FOLDER, QUERIES[name])._jdf.queryExecution().executedPlan().toString()
     keyed = [x for x in physical.splitlines() if "Join" in x and re.search(r"\bkey#", x)]
     assert keyed and all("SortMergeJoin" in x for x in keyed)
+
+
+def compiled(spark, name):
+    """The query, and its joined rows before the exact condition."""
+    sql = Engine(spark, catalog(spark, FOLDER, QUERIES[name])).compile(QUERIES[name])[0].sql
+    source = sql.split(" FROM ", 1)[1]
+    return sql, re.sub(" (LEFT|RIGHT) JOIN ", " JOIN ", source[: source.rindex(".key AND ") + 4])
+
+
+def count(spark, source):
+    return spark.sql(f"SELECT count(*) FROM {source}").first()[0]
+
+
+SPATIAL = [x for x in KEYED if x not in ("interval_join", "interval_left_join", "theta_join")]
+
+
+@pytest.mark.parametrize("name", SPATIAL)
+def test_distances_are_decided_by_vectors(spark, name):
+    """Trigonometry for each pair, not for each row, took all the time of joins with many pairs."""
+    plan = run(spark, FOLDER, QUERIES[name])._jdf.queryExecution().executedPlan().toString()
+    (join,) = [x for x in plan.splitlines() if re.search(r"SortMergeJoin \[key#\d+L\], \[key#\d+L\]", x)]
+    assert "CASE WHEN" in join and join.index("CASE WHEN") < join.index("ASIN")
+
+
+@pytest.mark.parametrize("name", [*SPATIAL, "interval_join"])
+def test_rows_are_dealt_before_they_get_several_keys(spark, name):
+    """One task reads a small file, and gave all of its rows their keys."""
+    assert "RoundRobinPartitioning" in run(spark, FOLDER, QUERIES[name])._jdf.queryExecution().executedPlan().toString()

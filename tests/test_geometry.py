@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from aquila.functions.geometry import Shape, area, contains, from_region, intersects, stored
+from aquila.functions.geometry import Shape, area, contains, distance, from_region, intersects, stored
 from aquila.functions.stcs import parse_region, parse_system, system_pattern
 
 
@@ -136,3 +136,28 @@ def test_columns_of_regions_by_kind(spark):
     for two in (contains, intersects):
         with pytest.raises(ValueError, match="another column"):
             two(stored("a"), stored("b"))
+
+
+def test_joins_by_varying_radius_match_all_pairs(spark):
+    from aquila.session import Config, Engine
+    from aquila.sources.catalog import Catalog
+
+    r = random.Random(12)
+    radii = [0.0, 0.004, 0.01, 0.02, 1.0, 2.56, 2.5600001, 33.0, 90.0, 163.9, 180.0, 181.0, 500.0, -1.0, -1000.0, None]
+    places = [(r.uniform(-360, 720), math.degrees(math.asin(r.uniform(-1, 1)))) for _ in range(60)] + [(0.0, 90.0), (180.0, -90.0), (0.0, 0.0), (359.999, 0.0), (0.0, 1.0), (180.0, 0.0), (None, 3.0), (3.0, None), (77.0, 89.9), (257.0, 89.9)]
+    catalog = Catalog()
+    sky = spark.createDataFrame([(i, i % 7, *p, r.choice(radii)) for i, p in enumerate(places * 2)], "id int, k int, lon double, lat double, r double")
+    catalog.add("sky", sky)
+    engine = Engine(spark, catalog, Config())
+    a, b = (sky.select(*(F.col(c).alias(f"{s}_{c}") for c in sky.columns)) for s in "ab")
+    whole = "a_lon IS NOT NULL AND a_lat IS NOT NULL AND b_lon IS NOT NULL AND b_lat IS NOT NULL"
+    apart = distance(("a_lon", "a_lat"), ("b_lon", "b_lat"))
+    for radius, of in (("b.r", "b_r"), ("MOD(b.k, 5) + 0.5", "b_k % 5 + 0.5D"), ("1", "1D"), ("180", "180D"), ("0", "0D"), ("MOD(b.k, 4) * 60", "b_k % 4 * 60")):
+        for how in ("", "LEFT ", "RIGHT "):
+            for word, condition in (("<=", f"CONTAINS(POINT('', a.lon, a.lat), CIRCLE('', b.lon, b.lat, {radius})) = 1"), ("<", f"DISTANCE(POINT('', a.lon, a.lat), POINT('', b.lon, b.lat)) < {radius}")):
+                if how and word == "<":
+                    continue
+                df = engine.sql(f"SELECT a.id AS a, b.id AS b FROM sky AS a {how}JOIN sky AS b ON {condition}")
+                want = a.join(b, F.expr(f"{whole} AND {apart} {word} {of}"), how.strip().lower() or "inner").select("a_id", "b_id")
+                key = lambda x: (x[0] is None, x[1] is None, x[0] or 0, x[1] or 0)
+                assert sorted(map(tuple, df.collect()), key=key) == sorted(map(tuple, want.collect()), key=key), (radius, how, word)
