@@ -82,9 +82,10 @@ def _cells_in(zone: str, h: str) -> str:
 
 
 def cell_of_point(v: str, h: str, part: str = "") -> str:
-    """One row. part: SQL that is added to the cell."""
+    """One row. part: SQL that is added to the cell. An explode of one key keeps Spark from filtering null keys by the whole
+    expression at the scan, where it would take apart a text with a point dozens of times."""
     zone = _let(f"{v}z", zone=_zone(f"{v}p.lat", h)) + _let(f"{v}n", n=_cells_in(f"{v}z.zone", h))
-    return zone + _let(f"{v}k", key=f"{part}{v}z.zone * {ZONE} + least({v}n.n - 1, floor(pmod({v}p.lon, 360D) / 360D * {v}n.n))")
+    return zone + _each(f"{v}k", "key", f"array({part}{v}z.zone * {ZONE} + least({v}n.n - 1, floor(pmod({v}p.lon, 360D) / 360D * {v}n.n)))")
 
 
 def cells_of_circle(v: str, radius: str, h: str, part: str = "") -> str:

@@ -103,3 +103,10 @@ def test_distances_are_decided_by_vectors(spark, name):
 def test_rows_are_dealt_before_they_get_several_keys(spark, name):
     """One task reads a small file, and gave all of its rows their keys."""
     assert "RoundRobinPartitioning" in run(spark, FOLDER, QUERIES[name])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_as_text_are_taken_apart_once_a_row(spark):
+    """Keys of points were filtered at the scan by an expression that took their text apart dozens of times, in one task."""
+    plan = run(spark, FOLDER, QUERIES["point_column_join"])._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "split(" in x and "SortMergeJoin" not in x]
+    assert [x.count("split(") for x in lines] == [2, 2] and plan.count("Exchange RoundRobinPartitioning") == 2
