@@ -77,9 +77,9 @@ def test_keyed_joins_are_not_broadcast(spark, name):
     assert keyed and all("SortMergeJoin" in x for x in keyed)
 
 
-def compiled(spark, name):
+def compiled(spark, name, folder=FOLDER):
     """The query, and its joined rows before the exact condition."""
-    sql = Engine(spark, catalog(spark, FOLDER, QUERIES[name])).compile(QUERIES[name])[0].sql
+    sql = Engine(spark, catalog(spark, folder, QUERIES[name])).compile(QUERIES[name])[0].sql
     source = sql.split(" FROM ", 1)[1]
     return sql, re.sub(" (LEFT|RIGHT) JOIN ", " JOIN ", source[: source.rindex(".key AND ") + 4])
 
@@ -110,3 +110,12 @@ def test_points_as_text_are_taken_apart_once_a_row(spark):
     plan = run(spark, FOLDER, QUERIES["point_column_join"])._jdf.queryExecution().executedPlan().toString()
     lines = [x for x in plan.splitlines() if "split(" in x and "SortMergeJoin" not in x]
     assert [x.count("split(") for x in lines] == [2, 2] and plan.count("Exchange RoundRobinPartitioning") == 2
+
+
+def test_a_kept_circle_meets_few_points(spark):
+    """Points had a row for every cell in reach in classes four times as high as the one before, up to circles around the sphere."""
+    joined = compiled(spark, "radius_left_join")[1]
+    rows = run(spark, FOLDER, "SELECT COUNT(*) AS n FROM sky").first()["n"]
+    assert rows < count(spark, joined[joined.index(" JOIN (") + 7 :].rsplit(") ON ", 1)[0]) < 120 * rows
+    within = "SELECT a.id AS a, b.id AS b FROM sky AS a JOIN sky AS b ON DISTANCE(POINT('', b.lon, b.lat), POINT('', a.lon, a.lat)) < MOD(a.id, 6)"
+    assert count(spark, joined) < 8 * run(spark, FOLDER, within).count()
