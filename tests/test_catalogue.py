@@ -119,3 +119,17 @@ def test_a_kept_circle_meets_few_points(spark):
     assert rows < count(spark, joined[joined.index(" JOIN (") + 7 :].rsplit(") ON ", 1)[0]) < 120 * rows
     within = "SELECT a.id AS a, b.id AS b FROM sky AS a JOIN sky AS b ON DISTANCE(POINT('', b.lon, b.lat), POINT('', a.lon, a.lat)) < MOD(a.id, 6)"
     assert count(spark, joined) < 8 * run(spark, FOLDER, within).count()
+
+
+def test_circles_around_kept_points_have_few_cells(spark):
+    """They had cells of one degree, whatever their radius: thousands for large ones."""
+    exploded = compiled(spark, "radius_right_join")[0].split(" FROM ", 1)[1].split(" RIGHT JOIN ")[0]
+    rows = run(spark, FOLDER, "SELECT COUNT(*) AS n FROM sky").first()["n"]
+    assert rows < count(spark, exploded) < 30 * rows
+
+
+def test_bounds_of_radii(spark):
+    """A bound that an expression shows sets the cells' height; without one they keep theirs."""
+    sql = lambda r: Engine(spark, catalog(spark, FOLDER)).compile(f"SELECT a.id AS a, b.id AS b FROM sky AS a RIGHT JOIN sky AS b ON CONTAINS(POINT('', b.lon, b.lat), CIRCLE('', a.lon, a.lat, {r})) = 1")[0].sql
+    for radius, h in (("MOD(a.id, 170) + 3", "86.5D"), ("(MOD(a.id, 3) + 2.5)", "2.75D"), ("MOD(a.lon, 3)", "1.0D"), ("a.id", "1.0D"), ("MOD(a.id, 3) - a.lat", "1.0D")):
+        assert f"/ {h}) AS zone" in sql(radius), radius
